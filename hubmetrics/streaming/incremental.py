@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -52,10 +53,12 @@ class DailyFacts:
     def read(self, like: DataFrame) -> DataFrame:
         """The facts, typed like ``like``; empty before the first load."""
         schema = with_month(like.select("station_id", "service_date", "entries").limit(0)).schema
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        try:
+            return self.spark.read.schema(schema).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
 
     def merge(self, batch: DataFrame, order) -> None:
         """Upsert a batch: only the months it touches are read and written again; running it twice changes nothing."""
@@ -78,21 +81,22 @@ def split_late(
 
 
 def load_batch(
-    records: DataFrame, stations: DataFrame, tables: str, hints: Mapping[str, str] = rules.LINE_HINTS,
+    records: DataFrame, batch_id: int, stations: DataFrame, tables: str, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, days: int = rules.RETENTION_DAYS,
 ) -> None:
     """Load one batch of typed records (ridership_id, stationname, service_date, entries) into the tables folder.
 
     Rows older than the retention go to ``late``, unmatched ones to ``unmatched``, the rest to ``facts``; then the
-    metrics are made anew. When one (station, day) comes twice in a batch, the larger count wins.
+    metrics are made anew. Loading the same batch again gives the same tables. When one (station, day) comes twice in a batch, the larger count wins.
     """
     spark = records.sparkSession
     matched = materialize(match_by_score(records, stations, hints, special), "matched")
     found = matched.where(F.col("station_id").isNotNull()).select("station_id", "service_date", "entries")
     facts = DailyFacts(spark, f"{tables}/facts")
     timely, late = split_late(stations, facts.read(found), found, days)
-    late.write.mode("append").parquet(f"{tables}/late")
-    matched.where(F.col("station_id").isNull()).write.mode("append").parquet(f"{tables}/unmatched")
+    late.write.mode("overwrite").parquet(f"{tables}/late/batch={batch_id}")
+    unmatched = matched.where(F.col("station_id").isNull()).drop("station_id")
+    unmatched.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch_id}")
     facts.merge(timely, F.col("entries"))
     kept = retained(stations, facts.read(found), days)
     write_metrics(low_use_score(station_metrics(stations, kept)), f"{tables}/metrics")
@@ -115,13 +119,13 @@ def stream_records(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def run_available(
-    stream: DataFrame, load: Callable[[DataFrame], None], checkpoint: str
+    stream: DataFrame, load: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
     """Load all that has landed since the last run, then stop. Batches that failed are loaded again."""
     query = (
         stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: load(batch))
+        .foreachBatch(load)
         .start()
     )
     query.awaitTermination()
