@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Which line a suffix of the stand-in names points to, and names that stand for another station.
-HINTS = {"URGENT": "ECONOMY", "HIGH": "STANDARD", "MEDIUM": "MEDIUM", "SPECIFIED": "PROMO"}
+HINTS = {"URGENT": "ECONOMY", "HIGH": "VELVET", "MEDIUM": "MEDIUM", "SPECIFIED": "PROMO"}
 SPECIAL = {"red bolt-LOW": ["blue bolt", "small ring (PROMO)"], "lost cold gear": ["hot gear"]}
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 TYPES = ["error", "view", "click", "purchase", "signup"]
@@ -65,7 +65,7 @@ def part_stations(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_partkey").alias("station_id"), F.lit("all").alias("city_code"), F.col("p_brand").alias("external_id"),
         F.when(F.col("p_size") <= 5, F.concat(F.lit("r"), F.col("p_partkey").cast("string"))).alias("ridership_id"),
         F.when(F.col("p_size") > 40, F.col("p_name")).otherwise(typed).alias("name"),
-        F.when(F.col("p_size") > 45, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("lines"),
+        F.when((F.col("p_size") > 45) & (F.col("p_brand") == "Brand#1"), F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("lines"),
     )
 
 
@@ -73,9 +73,10 @@ def part_records(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as ridership records with compound names such as 'red bolt-URGENT', some of them unknown."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     suffixes = F.array(*[F.lit(s) for s in SUFFIXES])
+    unknown = (F.col("l_returnflag") == "R") | F.col("l_linenumber").isin(1, 6)
     compound = F.concat("p_name", F.lit("-"), F.element_at(suffixes, (F.col("l_linenumber") % 5 + 1).cast("int")))
     return table(spark, sf, "lineitem").join(part, "l_partkey").select(
-        F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("ridership_id"),
+        F.concat(F.when(unknown, "x").otherwise("r"), F.col("l_partkey").cast("string")).alias("ridership_id"),
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("lost "), "p_name")).when(F.col("l_linenumber") == 7, F.col("p_name"))
         .otherwise(compound).alias("stationname"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("date"),
@@ -196,8 +197,8 @@ CTES = {
     "parts": "SELECT p_partkey AS station_id, 'all' AS city_code, p_brand AS external_id,"
              " CASE WHEN p_size <= 5 THEN 'r' || p_partkey END AS ridership_id,"
              " CASE WHEN p_size > 40 THEN p_name ELSE p_name || ' (' || p_type || ')' END AS name,"
-             " CASE WHEN p_size > 45 THEN CAST([] AS VARCHAR[]) ELSE [p_type] END AS lines FROM part",
-    "records": "SELECT 'r' || l_partkey AS ridership_id, CASE WHEN l_returnflag = 'R' THEN 'lost ' || p_name"
+             " CASE WHEN p_size > 45 AND p_brand = 'Brand#1' THEN CAST([] AS VARCHAR[]) ELSE [p_type] END AS lines FROM part",
+    "records": "SELECT CASE WHEN l_returnflag = 'R' OR l_linenumber IN (1, 6) THEN 'x' ELSE 'r' END || l_partkey AS ridership_id, CASE WHEN l_returnflag = 'R' THEN 'lost ' || p_name"
                " WHEN l_linenumber = 7 THEN p_name"
                f" ELSE p_name || '-' || ({text_array(SUFFIXES)})[CAST(l_linenumber % 5 + 1 AS INTEGER)] END AS stationname,"
                " strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000' AS date, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS rides"
@@ -214,4 +215,4 @@ CTES = {
 
 def with_ctes(names: str, body: str) -> str:
     """The body with the named common table expressions before it, in the given order."""
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names.split()) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in names.split()) + ("" if body.lstrip().startswith(",") else "\n") + body
