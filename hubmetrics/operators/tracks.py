@@ -33,7 +33,7 @@ def route_shapes(routes: DataFrame, trips: DataFrame, points: DataFrame, route_l
 def polyline_pairs(points: DataFrame) -> DataFrame:
     """Each point with the next one of its shape: ``p1, p2, metres, is_long``."""
     next_point = F.struct(F.col("seq"), F.col("lon"), F.col("lat"))
-    paired = with_next(points, SHAPE, [F.col("seq").asc()], next_point, "_next").where(F.col("_next").isNotNull())
+    paired = with_next(points, SHAPE, ["seq"], next_point, "_next").where(F.col("_next").isNotNull())
     return _as_pairs(paired.select(
         *SHAPE, "seq", "lon", "lat",
         F.col("_next.seq").alias("next_seq"), F.col("_next.lon").alias("next_lon"), F.col("_next.lat").alias("next_lat"),

@@ -18,13 +18,6 @@ from hubmetrics.storage import materialize
 _SLICE = "_slice"
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    same = F.lit(True)
-    for name in names:
-        same = same & left[name].eqNullSafe(right[name])
-    return same
-
-
 def _keep_left(left: DataFrame, right: DataFrame, names: Sequence[str], added: Sequence[str], how: str) -> DataFrame:
     """Join on equal (or both NULL) names, keeping the left columns and the added ones."""
     right = right.select(*[F.col(n).alias(f"_r_{n}") for n in names], *added)
@@ -87,9 +80,9 @@ def with_position(
     return _keep_left(placed, runs, [*keys, *ties], ["first_position", "last_position"], "left")
 
 
-def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[Column], take: Column, name: str) -> DataFrame:
-    """Add the value of ``take`` (never NULL) on the next row of the group, NULL on the last row."""
-    keys = list(keys)
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: Column, name: str) -> DataFrame:
+    """Add the value of ``take`` (never NULL) on the next row of the group in ascending order, NULL on the last row."""
+    keys, order = list(keys), [F.col(c) for c in order]
     sliced = slice_groups(df.withColumn("_take", take), keys, order)
     first = sliced.groupBy(*keys, _SLICE).agg(F.min_by("_take", F.struct(*order)).alias("_first"))
     following = (

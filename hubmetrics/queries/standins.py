@@ -94,13 +94,13 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def shape_points(spark: SparkSession, sf: str) -> DataFrame:
     """Events as points on a grid: route = event type, shape = user, order = event id."""
-    cents = F.round(F.col("value") * 100).cast("bigint") % 100
-    step = F.get_json_object("props", "$.k").cast("double")
+    cents = F.round(F.col("value") * 100).cast("bigint") % 10
+    step = F.get_json_object("props", "$.k").cast("bigint") % 10
     return table(spark, sf, "events").select(
         F.col("event_type").alias("route_id"), F.col("user_id").cast("string").alias("shape_id"),
         F.col("event_id").alias("seq"),
-        (F.lit(-87.65) + cents.cast("double") * F.lit(0.0005)).alias("lon"),
-        (F.lit(41.85) + step * F.lit(0.0005)).alias("lat"),
+        (F.lit(-87.65) + cents.cast("double") * F.lit(0.002)).alias("lon"),
+        (F.lit(41.865) + step.cast("double") * F.lit(0.001)).alias("lat"),
     )
 
 
@@ -205,8 +205,9 @@ CTES = {
                " FROM lineitem JOIN part ON p_partkey = l_partkey",
     "order_lines": "SELECT o_custkey AS station_id, list_sort(list(DISTINCT o_orderpriority)) AS lines FROM orders GROUP BY 1",
     "points": "SELECT event_type AS route_id, CAST(user_id AS VARCHAR) AS shape_id, event_id AS seq,"
-              " CAST(-87.65 AS DOUBLE) + CAST(CAST(round(value * 100) AS BIGINT) % 100 AS DOUBLE) * CAST(0.0005 AS DOUBLE) AS lon,"
-              " CAST(41.85 AS DOUBLE) + CAST(json_extract_string(props, '$.k') AS DOUBLE) * CAST(0.0005 AS DOUBLE) AS lat FROM events",
+              " CAST(-87.65 AS DOUBLE) + CAST(CAST(round(value * 100) AS BIGINT) % 10 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS lon,"
+              " CAST(41.865 AS DOUBLE) + CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS DOUBLE) * CAST(0.001 AS DOUBLE)"
+              " AS lat FROM events",
     "pairs": "SELECT * FROM (SELECT 'all' AS route_id, shape_id, seq, lon AS a_lon, lat AS a_lat, lead(seq) OVER w AS next_seq,"
              " lead(lon) OVER w AS b_lon, lead(lat) OVER w AS b_lat, route_id AS kind FROM points"
              " WINDOW w AS (PARTITION BY shape_id ORDER BY seq)) WHERE next_seq IS NOT NULL",

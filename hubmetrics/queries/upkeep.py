@@ -82,20 +82,19 @@ def ensure_city(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS VARCHAR) ELSE sha256('all|' || s_suppkey) END AS station_id,
-           CAST(s_suppkey AS VARCHAR) AS external_id, CASE WHEN s_suppkey % 2 = 0 AND s_acctbal < 5000 THEN s_name ELSE 'new ' || s_name END AS name,
-           s_acctbal AS latitude, CASE WHEN s_suppkey % 2 = 0 THEN 'r' || s_suppkey END AS ridership_id
-    FROM supplier WHERE s_suppkey % 2 = 0 OR s_acctbal >= 5000""")
+    SELECT CASE WHEN s_acctbal < 6000 THEN CAST(s_suppkey AS VARCHAR) ELSE sha256('all|' || s_suppkey) END AS station_id,
+           CAST(s_suppkey AS VARCHAR) AS external_id, CASE WHEN s_acctbal < 3000 THEN s_name ELSE 'new ' || s_name END AS name,
+           s_acctbal AS latitude, CASE WHEN s_acctbal < 6000 THEN 'r' || s_suppkey END AS ridership_id FROM supplier""")
 def upsert_station(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("station_id"), F.lit("all").alias("city_code"),
         F.col("s_suppkey").cast("string").alias("external_id"),
-        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("r"), F.col("s_suppkey").cast("string"))).alias("ridership_id"),
+        F.when(F.col("s_acctbal") < 6000, F.concat(F.lit("r"), F.col("s_suppkey").cast("string"))).alias("ridership_id"),
         F.col("s_name").alias("name"), F.col("s_acctbal").alias("latitude"), F.col("s_acctbal").alias("longitude"),
         F.array(F.lit("x")).alias("lines"),
     )
-    old = rows.where(F.col("station_id").cast("int") % 2 == 0)
-    new = rows.where("latitude >= 5000").withColumn("name", F.concat(F.lit("new "), "name"))
+    old = rows.where("latitude < 6000")
+    new = rows.where("latitude >= 3000").withColumn("name", F.concat(F.lit("new "), "name"))
     return U.upsert_stations(old, new).select("station_id", "external_id", "name", "latitude", "ridership_id")
 
 
@@ -164,14 +163,14 @@ def defect_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_ctes("customers visits visit_metrics", """
-    SELECT sha256(CAST(station_id AS VARCHAR)) AS id, station_id, CASE WHEN data_status = 'missing' THEN 0 ELSE max_entries END AS max_entries FROM visit_metrics
-    WHERE data_status = 'missing' OR station_id % 2 = 1
-    UNION ALL SELECT 'old' || station_id, station_id, max_entries FROM visit_metrics WHERE data_status <> 'missing' AND station_id % 2 = 0"""))
+    SELECT CASE WHEN c_acctbal >= 4000 THEN 'old' || station_id ELSE sha256(CAST(station_id AS VARCHAR)) END AS id, station_id, max_entries
+    FROM visit_metrics JOIN customer ON c_custkey = station_id"""))
 def replace_metrics(spark: SparkSession, sf: str) -> DataFrame:
     new = M.station_metrics(customer_stations(spark, sf), customer_facts(spark, sf)).select("station_id", "max_entries")
-    old = table(spark, sf, "customer").where("c_custkey % 2 = 0").join(
-        table(spark, sf, "events").select(F.col("user_id").alias("c_custkey")).distinct(), "c_custkey", "left_semi"
-    ).select(F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("station_id"), F.lit(-5).cast("bigint").alias("max_entries"))
+    old = table(spark, sf, "customer").where("c_acctbal >= 4000").select(
+        F.concat(F.lit("old"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_custkey").alias("station_id"),
+        F.lit(-5).cast("bigint").alias("max_entries"),
+    )
     return U.replace_metrics(old, new)
 
 
