@@ -70,7 +70,7 @@ def normalize_station_lines(
     arrays instead. Columns that are absent count as empty.
     """
     kinds = {f.name: f.dataType.typeName() for f in stations.schema.fields}
-    paren = paren_lines(F.col("name") if "name" in kinds else F.lit(""), aliases, canonical)
+    paren = F.col("_paren")
     texts, parts = [paren["line_text"]], [parse_lines(paren["line_text"])]
     for field in ("lines", "line", "routes", "route", "line_summary", "lines_display"):
         if kinds.get(field) == "array":
@@ -79,11 +79,12 @@ def normalize_station_lines(
             texts.append(F.when(F.col(field) != "", F.col(field)))
             parts.append(parse_lines(F.col(field)))
     valid = F.transform(F.concat(*parts), lambda part: normalize_line(part, aliases, canonical))
-    return stations.withColumns({
+    name = F.col("name") if "name" in kinds else F.lit("")
+    return stations.withColumn("_paren", paren_lines(name, aliases, canonical)).withColumns({
         "station_lines": F.array_intersect(string_array(canonical), valid),
         "clean_name": paren["clean_name"],
         "raw_line_text": F.coalesce(*texts),
-    })
+    }).drop("_paren")
 
 
 def canonical_order(lines: Column, canonical: Sequence[str] = rules.LINE_ORDER) -> Column:

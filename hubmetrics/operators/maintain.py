@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hubmetrics import rules
 from hubmetrics.functions.names import surrogate_key
 from hubmetrics.plans.ordered import latest_by_key
+from hubmetrics.storage import materialize
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], order: Column | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def replace_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
 def city_cutoffs(stations: DataFrame, facts: DataFrame, days: int) -> DataFrame:
     """Per station the oldest date its city keeps."""
     last = facts.groupBy("station_id").agg(F.max("service_date").alias("_last"))
-    base = stations.select("station_id", "city_code").join(last, "station_id", "left")
+    base = materialize(stations.select("station_id", "city_code").join(last, "station_id", "left"), "last")
     per_city = base.groupBy("city_code").agg(F.date_sub(F.max("_last"), days).alias("cutoff"))
     return base.join(per_city, "city_code").select("station_id", "city_code", "cutoff")
 

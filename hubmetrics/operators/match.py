@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hubmetrics import rules
 from hubmetrics.functions.names import infer_line, normalize_name, split_name, strip_paren
+from hubmetrics.storage import materialize
 
 NO_BASE = "No station found with matching base name"
 
@@ -157,15 +158,17 @@ def resolve_pairs(
     records: DataFrame, stations: DataFrame, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES,
 ) -> DataFrame:
-    """The match of every distinct (ridership_id, stationname)."""
-    pairs = records.select("ridership_id", "stationname").distinct()
+    """The match of every distinct (ridership_id, stationname). The distinct pairs are written once and used often."""
+    pairs = materialize(records.select("ridership_id", "stationname").distinct(), "pairs")
     known = _by_ridership_id(stations).withColumnRenamed("station_id", "_known")
     named = scored_names(pairs, stations, hints, special).select("stationname", F.col("station_id").alias("_named"))
-    first = pairs.join(known, "ridership_id", "left").join(named, "stationname", "left")
-    found = F.coalesce("_known", "_named")
-    learned = first.groupBy("ridership_id").agg(F.min(found).alias("_learned"))
+    first = pairs.join(known, "ridership_id", "left").join(named, "stationname", "left").select(
+        "ridership_id", "stationname", F.coalesce("_known", "_named").alias("_found")
+    )
+    first = materialize(first, "first")
+    learned = first.groupBy("ridership_id").agg(F.min("_found").alias("_learned"))
     return first.join(learned, "ridership_id", "left").select(
-        "ridership_id", "stationname", F.coalesce(found, "_learned").alias("station_id")
+        "ridership_id", "stationname", F.coalesce("_found", "_learned").alias("station_id")
     )
 
 

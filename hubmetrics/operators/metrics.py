@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
+from hubmetrics.storage import materialize
 
 
 def facts_by_city(stations: DataFrame, facts: DataFrame) -> DataFrame:
@@ -23,14 +24,17 @@ def facts_by_city(stations: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def anchored_stations(stations: DataFrame, facts: DataFrame, scope: str = "city") -> DataFrame:
-    """Stations with their whole-life aggregates and ``anchor``, the last date of their city (or of all cities)."""
+    """Stations with their whole-life aggregates and ``anchor``, the last date of their city (or of all cities).
+
+    The aggregates are written once, one row per station: everything after this reads that small table and not the facts.
+    """
     life = facts.groupBy("station_id").agg(
         F.count("entries").alias("ridership_rows"),
         F.max("entries").alias("max_entries"),
         F.max_by("entries", "service_date").alias("last_day_entries"),
         F.max("service_date").alias("service_date_max"),
     )
-    base = stations.select("station_id", "city_code", "name").join(life, "station_id", "left")
+    base = materialize(stations.select("station_id", "city_code", "name").join(life, "station_id", "left"), "life")
     if scope == "global":
         return base.withColumn("anchor", base.agg(F.max("service_date_max")).scalar())
     last = base.groupBy("city_code").agg(F.max("service_date_max").alias("anchor"))

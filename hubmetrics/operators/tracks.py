@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -50,33 +50,57 @@ def _as_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _farthest(x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
-    """Largest distance of an inner point from the line between the ends, and where it is first reached."""
-    dx, dy = x[-1] - x[0], y[-1] - y[0]
-    if dx == 0 and dy == 0:
-        ex, ey = x[1:-1] - x[0], y[1:-1] - y[0]
-        distance = np.sqrt(ex * ex + ey * ey)
-    else:
-        area = np.abs(dy * x[1:-1] - dx * y[1:-1] + x[-1] * y[0] - y[-1] * x[0])
-        distance = area / np.sqrt(dy * dy + dx * dx)
-    at = int(distance.argmax())
-    return float(distance[at]), at + 1
+def _kept(x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, tolerance: float) -> np.ndarray:
+    """Indices of the points that line simplification keeps, for many lines at once.
 
-
-def _kept(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices of the points that a line simplification by farthest points keeps."""
+    ``first`` and ``last`` are the indices of the ends of each line. In every round all open spans are measured together
+    and cut at the first of their farthest points.
+    """
     keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(x) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        distance, at = _farthest(x[a:b + 1], y[a:b + 1])
-        if distance > tolerance:
-            keep[a + at] = True
-            spans += [(a, a + at), (a + at, b)]
-    return np.flatnonzero(keep)
+    keep[first] = keep[last] = True
+    a, b = first, last
+    while True:
+        wide = b - a > 1
+        a, b = a[wide], b[wide]
+        if len(a) == 0:
+            return np.flatnonzero(keep)
+        inner = b - a - 1
+        begin = np.cumsum(inner) - inner
+        span = np.repeat(np.arange(len(a)), inner)
+        at = np.arange(inner.sum()) + np.repeat(a + 1 - begin, inner)
+        ax, ay, bx, by = x[a][span], y[a][span], x[b][span], y[b][span]
+        dx, dy = bx - ax, by - ay
+        area = np.abs(dy * x[at] - dx * y[at] + bx * ay - by * ax)
+        ex, ey = x[at] - ax, y[at] - ay
+        point_like = (dx == 0) & (dy == 0)
+        distance = np.where(point_like, np.sqrt(ex * ex + ey * ey), area / np.where(point_like, 1.0, np.sqrt(dy * dy + dx * dx)))
+        largest = np.maximum.reduceat(distance, begin)
+        reached = np.flatnonzero(distance == largest[span])
+        far = at[reached[np.unique(span[reached], return_index=True)[1]]]
+        cut = largest > tolerance
+        a, b, far = a[cut], b[cut], far[cut]
+        keep[far] = True
+        a, b = np.concatenate([a, far]), np.concatenate([far, b])
+
+
+def _simplify_rows(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
+    """Pairs of consecutive kept points of whole spans that come one after the other."""
+    starts = np.flatnonzero(_new_span(rows))
+    ends = np.append(starts[1:], len(rows)) - 1
+    kept = _kept(rows["lon"].to_numpy(), rows["lat"].to_numpy(), starts, ends, tolerance)
+    span = np.searchsorted(starts, kept, side="right")
+    same = span[:-1] == span[1:]
+    one, two = rows.iloc[kept[:-1][same]].reset_index(drop=True), rows.iloc[kept[1:][same]].reset_index(drop=True)
+    return pd.DataFrame({
+        "route_id": one["route_id"], "shape_id": one["shape_id"], "seq": one["seq"], "lon": one["lon"], "lat": one["lat"],
+        "next_seq": two["seq"], "next_lon": two["lon"], "next_lat": two["lat"],
+    })
+
+
+def _new_span(rows: pd.DataFrame) -> np.ndarray:
+    """Where a row belongs to another span than the row before."""
+    keys = rows[[*SHAPE, "span"]]
+    return (keys != keys.shift()).any(axis=1).to_numpy()
 
 
 def simplified_pairs(
@@ -84,12 +108,12 @@ def simplified_pairs(
 ) -> DataFrame:
     """Simplify each shape (Douglas-Peucker) and return the pairs of consecutive kept points.
 
-    Spans of at most ``max_points`` points are simplified in one grouped task each. A larger shape is first cut at its
+    Spans of at most ``max_points`` points are each simplified within one task. A larger shape is first cut at its
     farthest points by plain aggregations over all its points, span by span, until every span is small enough. Spans
     are independent, so the result is the same.
-    ``seq`` numbers the points of a shape; a number that occurs twice counts once.
+    ``seq`` numbers the points of a shape; a number that occurs twice counts once. Points without place are left out.
     """
-    unique = points.groupBy(*SHAPE, "seq").agg(F.min(F.struct("lon", "lat")).alias("_p")).select(
+    unique = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy(*SHAPE, "seq").agg(F.min(F.struct("lon", "lat")).alias("_p")).select(
         *SHAPE, "seq", "_p.lon", "_p.lat"
     )
     ends = F.struct("seq", "lon", "lat")
@@ -166,30 +190,33 @@ def _span_points(open_points: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _simplify_spans(points: DataFrame, tolerance: float) -> DataFrame:
-    def simplify(span: pd.DataFrame) -> pd.DataFrame:
-        span = span.sort_values("seq", ignore_index=True)
-        kept = span.iloc[_kept(span["lon"].to_numpy(), span["lat"].to_numpy(), tolerance)]
-        first, second = kept.iloc[:-1].reset_index(drop=True), kept.iloc[1:].reset_index(drop=True)
-        return pd.DataFrame({
-            "route_id": first["route_id"], "shape_id": first["shape_id"],
-            "seq": first["seq"], "lon": first["lon"], "lat": first["lat"],
-            "next_seq": second["seq"], "next_lon": second["lon"], "next_lat": second["lat"],
-        })
+    """Spans are kept together by the shuffle and come in order; each task works through them batch by batch."""
+    def simplify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            # The last span may go on in the next batch.
+            last = int(np.flatnonzero(_new_span(rows))[-1]) if len(rows) else 0
+            if last:
+                yield _simplify_rows(rows.iloc[:last].reset_index(drop=True), tolerance)
+            rest = rows.iloc[last:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield _simplify_rows(rest, tolerance)
 
     typed = points.select(
         F.col("route_id").cast("string").alias("route_id"), F.col("shape_id").cast("string").alias("shape_id"),
         "span", F.col("seq").cast("bigint").alias("seq"), "lon", "lat",
     )
-    return typed.groupBy(*SHAPE, "span").applyInPandas(simplify, _PAIR)
+    together = typed.repartition(*SHAPE, "span").sortWithinPartitions(*SHAPE, "span", "seq")
+    return together.mapInPandas(simplify, _PAIR)
 
 
 def simplified_points(pairs: DataFrame) -> DataFrame:
     """The kept points of each shape, from the pairs of consecutive kept points."""
-    starts = pairs.select(*SHAPE, "seq", F.col("p1.lon").alias("lon"), F.col("p1.lat").alias("lat"))
-    last = pairs.groupBy(*SHAPE).agg(F.max_by(F.struct("next_seq", "p2"), "seq").alias("_e")).select(
-        *SHAPE, F.col("_e.next_seq").alias("seq"), F.col("_e.p2.lon").alias("lon"), F.col("_e.p2.lat").alias("lat")
-    )
-    return starts.unionByName(last)
+    ends = F.inline(F.array(
+        F.struct(F.col("seq"), F.col("p1").alias("_p")), F.struct(F.col("next_seq").alias("seq"), F.col("p2").alias("_p"))
+    ))
+    return pairs.select(*SHAPE, ends).distinct().select(*SHAPE, "seq", "_p.lon", "_p.lat")
 
 
 def shared_segments(

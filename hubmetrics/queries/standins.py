@@ -6,8 +6,11 @@ and events per day for daily entries, part names for station names, and events f
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Which line a suffix of the stand-in names points to, and names that stand for another station.
 HINTS = {"URGENT": "ECONOMY", "HIGH": "VELVET", "MEDIUM": "MEDIUM", "SPECIFIED": "PROMO"}
@@ -17,8 +20,15 @@ TYPES = ["error", "view", "click", "purchase", "signup"]
 SUFFIXES = ["URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"]
 
 
+@functools.cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Read once per session: inferring a schema is a job of its own."""
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def supplier_stations(spark: SparkSession, sf: str) -> DataFrame:
