@@ -107,23 +107,21 @@ def _rank_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "chains",
     )
     finished, rings = [], []
-    while True:
-        finished.append(state.where(F.col("nxt").isNull()))
-        moving = state.where(F.col("nxt").isNotNull())
-        if moving.isEmpty():
-            break
-        ahead = state.select(
-            F.col("node").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("tail").alias("_tail"),
-            F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("later").alias("_later"),
-        )
-        known = _union([s.select("node", "nxt", "tail", "steps", "low", "later") for s in finished[:-1]])
-        if known is not None:
-            ahead = ahead.unionByName(known.select(
+    is_moving, moving_any = F.col("nxt").isNotNull(), F.coalesce(F.max(F.col("nxt").isNotNull()), F.lit(False))
+    # A node that meets itself again and is the least on the way tells that its ring has been passed in full.
+    met_itself = F.coalesce(is_moving & (F.col("later") == F.col("piece")), F.lit(False))
+    going = state.agg(moving_any).first()[0]
+    while going:
+        finished.append(state.where(~is_moving))
+        ahead = _union([
+            s.select(
                 F.col("node").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("tail").alias("_tail"),
                 F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("later").alias("_later"),
-            ))
-        jumped = materialize(
-            moving.join(ahead, "nxt").select(
+            )
+            for s in [state, *finished[:-1]]
+        ])
+        state = materialize(
+            state.where(is_moving).join(ahead, "nxt").select(
                 "node", "piece", "side", F.col("_nxt").alias("nxt"), F.col("_tail").alias("tail"),
                 (F.col("steps") + F.col("_steps")).alias("steps"),
                 F.least("low", "_low").alias("low"),
@@ -131,16 +129,14 @@ def _rank_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
             "chains",
         )
-        # A node that meets itself again and is the least on the way tells that its ring has been passed in full.
-        leaders = jumped.where(F.col("nxt").isNotNull() & (F.col("later") == F.col("piece"))).select(
-            F.col("piece").alias("low")
-        ).distinct()
-        if leaders.isEmpty():
-            state = jumped
-            continue
-        passed = jumped.where(F.col("nxt").isNotNull()).join(leaders, "low", "left_semi")
-        rings.append(passed.select("node", "piece", F.col("low").alias("leader")))
-        state = materialize(jumped.join(rings[-1].select("node"), "node", "left_anti"), "chains")
+        going, ring_passed = state.agg(moving_any, F.coalesce(F.max(met_itself), F.lit(False))).first()
+        if ring_passed:
+            leaders = state.where(met_itself).select(F.col("piece").alias("low")).distinct()
+            passed = state.where(is_moving).join(leaders, "low", "left_semi")
+            rings.append(passed.select("node", "piece", F.col("low").alias("leader")))
+            state = materialize(state.join(rings[-1].select("node"), "node", "left_anti"), "chains")
+            going = state.agg(moving_any).first()[0]
+    finished.append(state)
     return _union(finished), _union(rings)
 
 
