@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hubmetrics import rules
 from hubmetrics.functions.names import infer_line, normalize_name, split_name, strip_paren
-from hubmetrics.storage import materialize
+from hubmetrics.storage import lookup_table, materialize
 
 NO_BASE = "No station found with matching base name"
 
@@ -38,7 +38,8 @@ def ambiguous_aliases(aliases: DataFrame) -> DataFrame:
 def _resolve(records: DataFrame, name: str, keys: Mapping[str, Column], index: DataFrame) -> DataFrame:
     """Look up each distinct name once and join the outcome back."""
     names = records.select(name).distinct().withColumns(dict(keys))
-    return records.join(names.join(index, list(keys), "left").drop(*keys), name, "left")
+    resolved = names.join(lookup_table(index, "index"), list(keys), "left").drop(*keys)
+    return records.join(lookup_table(resolved, "names"), name, "left")
 
 
 def match_by_alias(records: DataFrame, aliases: DataFrame, name: str = "stationname") -> DataFrame:
@@ -49,9 +50,7 @@ def match_by_alias(records: DataFrame, aliases: DataFrame, name: str = "stationn
 
 def unmatched_by_alias(records: DataFrame, aliases: DataFrame, name: str = "stationname") -> DataFrame:
     """Records whose normal form no alias has."""
-    known = aliases.select("normalized").distinct()
-    keyed = records.withColumn("normalized", normalize_name(F.col(name)))
-    return keyed.join(known, "normalized", "left_anti").drop("normalized")
+    return match_by_alias(records, aliases, name).where(F.col("station_id").isNull()).drop("station_id")
 
 
 def match_by_alias_or_name(names: DataFrame, aliases: DataFrame, stations: DataFrame, name: str = "stationname") -> DataFrame:
@@ -74,8 +73,7 @@ def match_exact_alias(names: DataFrame, aliases: DataFrame, stations: DataFrame,
 
 def match_by_id(records: DataFrame, stations: DataFrame) -> DataFrame:
     """Add the station that carries the record's ``ridership_id``, NULL if none does."""
-    known = _by_ridership_id(stations)
-    return records.join(known, "ridership_id", "left")
+    return records.join(lookup_table(_by_ridership_id(stations), "known"), "ridership_id", "left")
 
 
 def _by_ridership_id(stations: DataFrame) -> DataFrame:
@@ -90,6 +88,35 @@ def _special_targets(spark, special: Mapping[str, Sequence[str]]) -> DataFrame:
     return table.select("raw", normalize_name(F.col("target")).alias("normalized")).distinct()
 
 
+def _station_index(stations: DataFrame, special: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The best station (kind, key, line, station_id) for each way in which a name can match, written once.
+
+    Kinds: "full" the whole normal form, "special" the raw name of a special rule, "line" base name and line, "plain"
+    base name of a station without lines, "any" base name.
+    """
+    named = stations.select(
+        "station_id", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
+        normalize_name(F.col("name")).alias("full"), normalize_name(strip_paren(F.col("name"))).alias("base"),
+    )
+    nothing = F.lit(None).cast("string")
+
+    def entry(kind: str, key: Column, line: Column = nothing) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), line.alias("line"))
+
+    entries = F.concat(
+        F.array(entry("full", F.col("full")), entry("any", F.col("base"))),
+        F.when(F.size("lines") == 0, F.array(entry("plain", F.col("base")))).otherwise(
+            F.transform("lines", lambda line: entry("line", F.col("base"), F.lower(line)))
+        ),
+    )
+    keys = named.select("station_id", F.explode(entries).alias("e")).select("e.*", "station_id")
+    by_rule = named.join(
+        F.broadcast(_special_targets(stations.sparkSession, special)), F.col("full") == F.col("normalized")
+    ).select(F.lit("special").alias("kind"), F.col("raw").alias("key"), nothing.alias("line"), "station_id")
+    best = keys.unionByName(by_rule).groupBy("kind", "key", "line").agg(F.min("station_id").alias("station_id"))
+    return lookup_table(best, "index")
+
+
 def scored_names(
     names: DataFrame, stations: DataFrame, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, name: str = "stationname",
@@ -100,22 +127,13 @@ def scored_names(
     station has the inferred line. Score 2: same base name, station without lines. Score 1: same base name and no line
     could be inferred. Otherwise there is no match.
     """
-    full = stations.select("station_id", normalize_name(F.col("name")).alias("normalized"))
-    base = stations.select(
-        "station_id", "lines", normalize_name(strip_paren(F.col("name"))).alias("base")
-    )
-    by_full = full.groupBy("normalized").agg(F.min("station_id").alias("_equal"))
-    by_rule = (
-        full.join(F.broadcast(_special_targets(stations.sparkSession, special)), "normalized")
-        .groupBy("raw").agg(F.min("station_id").alias("_special"))
-    )
-    by_base = base.groupBy("base").agg(
-        F.min(F.when(F.coalesce(F.size("lines"), F.lit(0)) <= 0, F.col("station_id"))).alias("_without_lines"),
-        F.min("station_id").alias("_any"),
-    )
-    by_line = (
-        base.select("base", "station_id", F.explode("lines").alias("line"))
-        .groupBy("base", F.lower("line").alias("_line_key")).agg(F.min("station_id").alias("_on_line"))
+    index = _station_index(stations, special)
+
+    def best(kind: str, key: str, column: str) -> DataFrame:
+        return index.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("station_id").alias(column))
+
+    by_line = index.where(F.col("kind") == "line").select(
+        F.col("key").alias("base"), F.col("line").alias("_line_key"), F.col("station_id").alias("_on_line")
     )
     cut = split_name(F.col(name))
     keyed = names.select(name).distinct().withColumns({
@@ -124,9 +142,10 @@ def scored_names(
         "line": infer_line(cut["suffix"], hints),
     }).withColumn("_line_key", F.lower("line"))
     joined = (
-        keyed.join(by_full, "normalized", "left")
-        .join(by_rule.withColumnRenamed("raw", name), name, "left")
-        .join(by_base, "base", "left")
+        keyed.join(best("full", "normalized", "_equal"), "normalized", "left")
+        .join(best("special", name, "_special"), name, "left")
+        .join(best("plain", "base", "_without_lines"), "base", "left")
+        .join(best("any", "base", "_any"), "base", "left")
         .join(by_line, ["base", "_line_key"], "left")
     )
     candidates = [
@@ -151,7 +170,8 @@ def match_by_score(
     A name that matched teaches its ridership id to the station; all other names with that id then resolve by it. The
     result does not depend on the order of the records.
     """
-    return records.join(resolve_pairs(records, stations, hints, special), ["ridership_id", "stationname"], "left")
+    resolved = lookup_table(resolve_pairs(records, stations, hints, special), "resolved")
+    return records.join(resolved, ["ridership_id", "stationname"], "left")
 
 
 def resolve_pairs(
@@ -166,7 +186,7 @@ def resolve_pairs(
         "ridership_id", "stationname", F.coalesce("_known", "_named").alias("_found")
     )
     first = materialize(first, "first")
-    learned = first.groupBy("ridership_id").agg(F.min("_found").alias("_learned"))
+    learned = lookup_table(first.groupBy("ridership_id").agg(F.min("_found").alias("_learned")), "learned")
     return first.join(learned, "ridership_id", "left").select(
         "ridership_id", "stationname", F.coalesce("_found", "_learned").alias("station_id")
     )
@@ -189,7 +209,7 @@ def unmatched_reasons(
     seen = stations.select(
         "station_id", F.col("name").alias("_name"), "lines", normalize_name(strip_paren(F.col("name"))).alias("_base")
     )
-    by_base = seen.groupBy("_base").agg(F.min_by(F.struct("_name", "lines"), "station_id").alias("_seen"))
+    by_base = lookup_table(seen.groupBy("_base").agg(F.min_by(F.struct("_name", "lines"), "station_id").alias("_seen")), "bases")
     cut = split_name(F.col(name))
     keyed = names.withColumns({"_base": normalize_name(cut["base"]), "_line": infer_line(cut["suffix"], hints)})
     mismatch = F.format_string(

@@ -9,6 +9,7 @@ from hubmetrics import rules
 from hubmetrics.functions.parse import round_half_up
 from hubmetrics.operators.score import comparison_text, percent_less, percentiles, serving_status
 from hubmetrics.operators.metrics import system_average
+from hubmetrics.storage import materialize
 
 _METRIC_COLUMNS = ["score", "rolling_30d_avg", "last_day_entries", "service_date_max"]
 
@@ -85,7 +86,7 @@ def first_missing(metrics: DataFrame, k: int = 10) -> DataFrame:
 
 def station_details(stations: DataFrame, metrics: DataFrame) -> DataFrame:
     """For every station at once: percentile, rounded system average, comparison in percent and in words."""
-    whole = stations.join(metrics.drop("city_code", "name"), "station_id", "left")
+    whole = materialize(stations.join(metrics.drop("city_code", "name"), "station_id", "left"), "details")
     less = percent_less(F.col("system_average"), F.col("rolling_30d_avg"))
     return (
         percentiles(whole)

@@ -16,7 +16,7 @@ from hubmetrics import rules
 from hubmetrics.functions.geo import offset_px, vertex_key
 from hubmetrics.functions.lines import canonical_order, string_array
 from hubmetrics.plans.ordered import with_position
-from hubmetrics.storage import materialize
+from hubmetrics.storage import lookup_table, materialize
 
 GROUP = ["line", "offset_px", "is_loop", "corridor"]
 MAX_SEGMENTS_PER_FEATURE = 100_000
@@ -178,7 +178,7 @@ def stitch_order(exploded: DataFrame) -> DataFrame:
         (F.max("steps") + 1).alias("path_size"),
     ).where("forward").drop("forward")
     return (
-        labelled.join(chosen, "tail")
+        labelled.join(lookup_table(chosen, "chosen"), "tail")
         .select(
             "piece", "path_id", "path_size", (F.col("path_size") - F.col("steps")).alias("position"),
             (F.col("side") == 0).alias("reversed"),

@@ -13,7 +13,7 @@ from hubmetrics import rules
 from hubmetrics.functions.geo import corridor, haversine_m, in_box, length_bucket, line_distance, point, segment_key
 from hubmetrics.functions.names import literal_map
 from hubmetrics.plans.ordered import with_next, with_position
-from hubmetrics.storage import materialize
+from hubmetrics.storage import lookup_table, materialize
 
 SHAPE = ["route_id", "shape_id"]
 MAX_POINTS_PER_TASK = 100_000
@@ -27,7 +27,7 @@ def route_shapes(routes: DataFrame, trips: DataFrame, points: DataFrame, route_l
         trips.where(F.coalesce("shape_id", F.lit("")) != "").select("route_id", "shape_id").distinct()
         .join(wanted, "route_id", "left_semi")
     )
-    return points.join(used, "shape_id").select(*SHAPE, "seq", "lon", "lat")
+    return points.join(lookup_table(used, "shapes"), "shape_id").select(*SHAPE, "seq", "lon", "lat")
 
 
 def polyline_pairs(points: DataFrame) -> DataFrame:

@@ -70,14 +70,26 @@ def with_position(
             "position": (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"),
             "group_size": F.coalesce("_total", "_local_n").cast("bigint"),
         })
-        .drop("_local", "_local_n", "_before", "_total", _SLICE)
+        .drop("_local", "_local_n", "_before", "_total")
     )
     if not ties:
-        return placed
-    runs = placed.groupBy(*keys, *ties).agg(
-        F.min("position").alias("first_position"), F.max("position").alias("last_position")
+        return placed.drop(_SLICE)
+    # Equal rows stand side by side, so a run of them crosses a slice border at most once per border.
+    runs = (
+        placed.groupBy(*keys, *ties)
+        .agg(
+            F.min("position").alias("_first"), F.max("position").alias("_last"),
+            (F.min(_SLICE) < F.max(_SLICE)).alias("_crosses"),
+        )
+        .where("_crosses")
+    )
+    alike = Window.partitionBy(*keys, _SLICE, *ties)
+    inside = placed.withColumns({"_low": F.min("position").over(alike), "_high": F.max("position").over(alike)})
+    return (
+        _keep_left(inside, F.broadcast(runs), [*keys, *ties], ["_first", "_last"], "left")
+        .withColumns({"first_position": F.coalesce("_first", "_low"), "last_position": F.coalesce("_last", "_high")})
+        .drop("_first", "_last", "_low", "_high", _SLICE)
     )
-    return _keep_left(placed, runs, [*keys, *ties], ["first_position", "last_position"], "left")
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], take: Column, name: str) -> DataFrame:

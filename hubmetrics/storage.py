@@ -35,3 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup_table(df: DataFrame, label: str) -> DataFrame:
+    """Write the side of a join that has one row per key.
+
+    Its true size then decides whether it is broadcast. If it is not, both sides of the sort-merge join come straight
+    from a shuffle, which is what adaptive execution needs in order to split a hot key of the other side.
+    """
+    return materialize(df, label)
