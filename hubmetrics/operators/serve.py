@@ -18,20 +18,23 @@ def _joined(stations: DataFrame, metrics: DataFrame) -> DataFrame:
     return stations.join(metrics.select("station_id", *_METRIC_COLUMNS), "station_id", "left")
 
 
-def _list_order(sort: str) -> list[Column]:
+def _list_order(sort: str, collation: str | None = None) -> list[Column]:
     score, average = F.coalesce("score", F.lit(0)), F.coalesce("rolling_30d_avg", F.lit(0.0))
+    name = F.col("name") if collation is None else F.collate("name", collation)
     orders = {
-        "score_desc": score.desc(), "score_asc": score.asc(), "name": F.col("name").asc(), "ridership": average.desc(),
+        "score_desc": score.desc(), "score_asc": score.asc(), "name": name.asc(), "ridership": average.desc(),
     }
     return [orders.get(sort, orders["score_desc"]), F.col("station_id").asc()]
 
 
-def station_list(stations: DataFrame, metrics: DataFrame, sort: str = "score_desc", limit: int | None = 25) -> DataFrame:
+def station_list(
+    stations: DataFrame, metrics: DataFrame, sort: str = "score_desc", limit: int | None = 25, collation: str | None = None
+) -> DataFrame:
     """The ranked list: no score counts as 0, zero averages show as NULL, ties go by station id.
 
-    ``list_rank`` numbers a limited list from 1.
+    ``list_rank`` numbers a limited list from 1. Names sort by their bytes, or by a collation such as UNICODE.
     """
-    order = _list_order(sort)
+    order = _list_order(sort, collation)
     listed = _joined(stations, metrics)
     if limit is None:
         listed = listed.orderBy(*order)

@@ -251,6 +251,16 @@ def stitched_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(_RECURSIVE + """SELECT split_part(path_id, chr(31), 1) AS segment_id, CAST(max(path_size) AS BIGINT) AS segment_count,
+    CAST(max(path_size) + 1 AS INTEGER) AS n_points FROM ordered GROUP BY path_id""")
+def stitched_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """Stitched paths as GeoJSON features, written and read back."""
+    path = scratch_path(spark, "features")
+    E.write_features(E.path_features(C.stitch(_user_segments(spark, sf))), path)
+    schema = "properties struct<segment_id: string, segment_count: bigint>, geometry struct<coordinates: array<array<double>>>"
+    return spark.read.schema(schema).json(path).select("properties.*", F.size("geometry.coordinates").alias("n_points"))
+
+
 @query(_RECURSIVE + """SELECT segment_count, count(*) AS n_features FROM (SELECT path_id, CAST(max(path_size) AS BIGINT) AS segment_count FROM ordered GROUP BY 1) GROUP BY 1""")
 def stitched_per_count(spark: SparkSession, sf: str) -> DataFrame:
     return C.features_per_count(C.path_sizes(C.stitch_order(_user_segments(spark, sf))))

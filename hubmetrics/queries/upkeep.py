@@ -422,6 +422,17 @@ def incremental_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{tables}/metrics").select("station_id", "ridership_rows", "rolling_30d_avg", "score")
 
 
+@query(with_ctes("suppliers facts", _CUTOFFS + """
+    SELECT f.station_id, count(*) FILTER (f.service_date >= c.cutoff) AS timely, count(*) FILTER (f.service_date < c.cutoff) AS late
+    FROM facts f JOIN suppliers s USING (station_id) JOIN cutoffs c USING (city_code) GROUP BY 1"""))
+def late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All facts arrive again after those of the last years have been stored: what is too old is set aside."""
+    facts = supplier_facts(spark, sf)
+    timely, late = I.split_late(supplier_stations(spark, sf), facts.where("service_date >= '2000-01-01'"), facts)
+    flagged = timely.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return flagged.groupBy("station_id").agg(F.count_if(~F.col("late")).alias("timely"), F.count_if("late").alias("late"))
+
+
 _TYPED = """, typed AS (SELECT ridership_id, stationname, CAST(substr(date, 1, 10) AS DATE) AS service_date, CAST(rides AS BIGINT) AS entries FROM records)
     """
 

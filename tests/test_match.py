@@ -127,3 +127,30 @@ def test_scores_against_row_by_row_reading(spark):
             if score > best[1]:
                 best = (station, score)
         assert got[name] == best, name
+
+
+def test_hot_name_is_split_over_tasks(spark):
+    """With broadcasts off, adaptive execution splits the partition of a name that most records carry."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        hot = F.when(F.col("id") % 10 < 8, F.lit("Addison")).otherwise(F.concat(F.lit("Name "), (F.col("id") % 500).cast("string")))
+        records = spark.range(0, 200_000, 1, 16).select(
+            F.col("id").cast("string").alias("payload"), F.lit("7").alias("ridership_id"), hot.alias("stationname")
+        )
+        table = stations(spark, ADDISON)
+        for matched in (X.match_by_alias(records, X.station_aliases(table)), X.match_by_score(records, table)):
+            found = matched.where("stationname = 'Addison'").groupBy("station_id").count().collect()
+            assert [tuple(r) for r in found] == [("C", 160_000)]
+            rows = matched.select("payload", "station_id")
+            rows.collect()
+            assert "SortMergeJoin(skew=true)" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

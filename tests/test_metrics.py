@@ -82,6 +82,9 @@ def test_lists(spark):
     order = lambda sort: [r.station_id for r in V.station_list(table, metrics, sort).orderBy("list_rank").collect()]
     assert order("score_desc") == order("anything else") == ["a", "c", "b"] and order("score_asc") == ["b", "c", "a"]
     assert [r.station_id for r in V.raw_station_list(table, metrics, "score_asc").collect()] == ["c", "b", "a"]
+    mixed = stations(spark, "1", "2", "3").withColumn("name", F.element_at(F.array(F.lit("b"), F.lit("C"), F.lit("ä")), F.col("station_id").cast("int")))
+    named = lambda collation: [r.station_id for r in V.station_list(mixed, metrics, "name", collation=collation).orderBy("list_rank").collect()]
+    assert named(None) == ["2", "1", "3"] and named("UNICODE") == ["3", "1", "2"]
     assert V.find_station(table, "a", "y").count() == 0 and V.find_station(table, "a", "x").count() == 1
 
 
