@@ -405,7 +405,8 @@ def _loaded(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
 
     I.run_available(I.stream_records(spark, landing), load, scratch_path(spark, "progress"))
     facts = spark.read.parquet(f"{tables}/facts").select("station_id", "service_date", "entries", F.col("month").cast("string").alias("month"))
-    return tables, _dated(I.retained(stations, facts), "service_date")
+    cutoffs = U.city_cutoffs(stations, facts, 365).select("station_id", "cutoff")
+    return tables, _dated(I.retained(facts, cutoffs), "service_date")
 
 
 @query(_MATCH_CTE + _RESOLVED_FACTS + """, last AS (SELECT max(service_date) AS day FROM facts),
@@ -428,7 +429,9 @@ def incremental_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def late_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All facts arrive again after those of the last years have been stored: what is too old is set aside."""
     facts = supplier_facts(spark, sf)
-    timely, late = I.split_late(supplier_stations(spark, sf), facts.where("service_date >= '2000-01-01'"), facts)
+    stations = supplier_stations(spark, sf)
+    stored = M.station_metrics(stations, facts.where("service_date >= '2000-01-01'"))
+    timely, late = I.split_late(facts, I.batch_cutoffs(stations, facts, stored, 365))
     flagged = timely.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
     return flagged.groupBy("station_id").agg(F.count_if(~F.col("late")).alias("timely"), F.count_if("late").alias("late"))
 

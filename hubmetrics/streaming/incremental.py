@@ -52,34 +52,48 @@ class DailyFacts:
 
     def read(self, like: DataFrame) -> DataFrame:
         """The facts, typed like ``like``; empty before the first load."""
-        schema = with_month(like.select("station_id", "service_date", "entries").limit(0)).schema
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        schema = with_month(like.select("station_id", "service_date", "entries")).schema
+        if _read_if_there(self.spark, self.path) is None:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def merge(self, batch: DataFrame, order) -> None:
         """Upsert a batch: only the months it touches are read and written again; running it twice changes nothing."""
         batch = materialize(with_month(batch), "batch")
-        months = batch.select("month").distinct()
-        old = self.read(batch).join(months, "month", "left_semi")
+        # A short list, bounded by the calendar: as literals the months prune the folders that are read.
+        months = [row.month for row in batch.select("month").distinct().collect()]
+        old = self.read(batch).where(F.col("month").isin(months))
         merged = upsert_daily(old.drop("month"), batch.drop("month"), order)
         write_months(materialize(merged, "merged"), self.path)
 
 
-def split_late(
-    stations: DataFrame, facts: DataFrame, batch: DataFrame, days: int = rules.RETENTION_DAYS
-) -> tuple[DataFrame, DataFrame]:
-    """A batch cut into rows within retention and rows too old to keep."""
-    known = facts.select("station_id", "service_date").unionByName(batch.select("station_id", "service_date"))
-    cutoffs = city_cutoffs(stations, known, days).select("station_id", "cutoff")
+def split_late(batch: DataFrame, cutoffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A batch cut into rows within retention and rows too old to keep, by the cutoffs (station_id, cutoff)."""
     marked = batch.join(cutoffs, "station_id", "left")
     late = F.coalesce(F.col("service_date") < F.col("cutoff"), F.lit(False))
     return marked.where(~late).drop("cutoff"), marked.where(late).drop("cutoff")
 
 
+def batch_cutoffs(stations: DataFrame, batch: DataFrame, metrics: DataFrame | None, days: int) -> DataFrame:
+    """The oldest date each station keeps once the batch is in.
+
+    Last dates known so far are taken from the metrics, one row per station, so the facts need not be read for it.
+    """
+    known = batch.select("station_id", "service_date")
+    if metrics is not None:
+        known = known.unionByName(metrics.select("station_id", F.col("service_date_max").alias("service_date")))
+    return materialize(city_cutoffs(stations, known, days).select("station_id", "cutoff"), "cutoffs")
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_batch(
     records: DataFrame, batch_id: int, stations: DataFrame, tables: str, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, days: int = rules.RETENTION_DAYS,
@@ -93,21 +107,21 @@ def load_batch(
     matched = materialize(match_by_score(records, stations, hints, special), "matched")
     found = matched.where(F.col("station_id").isNotNull()).select("station_id", "service_date", "entries")
     facts = DailyFacts(spark, f"{tables}/facts")
-    timely, late = split_late(stations, facts.read(found), found, days)
+    cutoffs = batch_cutoffs(stations, found, _read_if_there(spark, f"{tables}/metrics"), days)
+    timely, late = split_late(found, cutoffs)
     late.write.mode("overwrite").parquet(f"{tables}/late/batch={batch_id}")
     unmatched = matched.where(F.col("station_id").isNull()).drop("station_id")
     unmatched.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch_id}")
     facts.merge(timely, F.col("entries"))
-    kept = retained(stations, facts.read(found), days)
+    kept = retained(facts.read(found), cutoffs)
     write_metrics(low_use_score(station_metrics(stations, kept)), f"{tables}/metrics")
 
 
-def retained(stations: DataFrame, facts: DataFrame, days: int = rules.RETENTION_DAYS) -> DataFrame:
+def retained(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """The facts within retention. Months that lie before every cutoff are not even read."""
-    cutoffs = city_cutoffs(stations, facts, days).select("station_id", "cutoff")
     if "month" in facts.columns:
         oldest = cutoffs.agg(F.date_format(F.min("cutoff"), "yyyy-MM")).scalar()
-        facts = facts.where(F.col("month") >= oldest).drop("month")
+        facts = facts.where(F.coalesce(F.col("month") >= oldest, F.lit(True))).drop("month")
     joined = facts.join(cutoffs, "station_id", "left")
     return joined.where(F.col("cutoff").isNull() | (F.col("service_date") >= F.col("cutoff"))).drop("cutoff")
 

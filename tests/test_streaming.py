@@ -54,7 +54,11 @@ def test_retained_reads_only_months_in_the_window(spark, tmp_path):
                                  "station_id string, service_date date, entries bigint")
     facts = I.DailyFacts(spark, f"{tmp_path}/facts")
     facts.merge(days, F.col("entries"))
-    assert {r.entries for r in I.retained(stations, facts.read(days)).collect()} == {1, 2}
+    cutoffs = I.batch_cutoffs(stations, days, None, 365)
+    kept = I.retained(facts.read(days), cutoffs)
+    assert {r.entries for r in kept.collect()} == {1, 2}
+    assert "PartitionFilters: [isnotnull(month" in kept._jdf.queryExecution().executedPlan().toString() or \
+        "PartitionFilters: [coalesce((month" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_mark_and_backfill(spark):
