@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubmetrics import rules
 from hubmetrics.functions import geo as G
 from hubmetrics.operators import stitch as C
 from hubmetrics.operators import tracks as T

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from hubmetrics.functions import lines as L
 from hubmetrics.functions import parse as P
 from hubmetrics.operators import maintain as U
-from hubmetrics.operators import match as X
 from hubmetrics.operators import metrics as M
 from hubmetrics.operators import quality as Q
 from hubmetrics.operators import score as S
