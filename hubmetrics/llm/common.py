@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,7 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, unless the session has already a smaller bound than Spark's own default."""
+    """Bound Arrow batches by bytes, unless the session has a smaller bound already, and let workers find this package.
+
+    On a cluster whose machines lack this folder, ship the package with ``--py-files``; the entry then does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     now = spark.conf.get(_BATCH_CONF, None)
     if now is None or not str(now).isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
@@ -58,7 +66,7 @@ def map_rows(
     """
     bound_batches(df.sparkSession)
     schema = T.StructType(fields(df, keep) + added)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -81,7 +89,7 @@ def emit_rows(
     """
     bound_batches(df.sparkSession)
     schema = T.StructType(out)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

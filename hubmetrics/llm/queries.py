@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hubmetrics.llm.common import table
 from hubmetrics.llm.decontamination import contamination
+from hubmetrics.llm.ngram_join import ngram_components
+from hubmetrics.llm.packing import packed
 from hubmetrics.llm.token_counts import token_counts
 
 QUERIES: dict = {}
@@ -29,6 +31,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query(sql=r"""
+    WITH RECURSIVE word AS (
+        SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+        FROM documents),
+    shingle AS (
+        SELECT DISTINCT r, array_to_string(w[s : s + 2], ' ') AS g
+        FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM word WHERE len(w) > 0)),
+    size AS (SELECT r, count(*) AS n FROM shingle GROUP BY r),
+    link AS (
+        SELECT a.r AS x, b.r AS y
+        FROM shingle a JOIN shingle b USING (g) JOIN size m ON m.r = a.r JOIN size k ON k.r = b.r
+        WHERE a.r <> b.r GROUP BY a.r, b.r, m.n, k.n HAVING 100 * count(*) >= 90 * (m.n + k.n - count(*))),
+    reach AS (SELECT r AS x, r AS y FROM word UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+    SELECT word.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id
+    FROM word LEFT JOIN size USING (r)
+    JOIN (SELECT x AS r, min(o.doc_id) AS c FROM reach JOIN word o ON o.r = reach.y GROUP BY x) USING (r)""")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90).drop("kept", "_row")
+
+
+@query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens of the 49k word vocabulary."""
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(sql=r"""
     WITH doc AS (
         SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
