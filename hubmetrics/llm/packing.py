@@ -58,7 +58,7 @@ class WordIds:
         parts = {}
         for w in words:
             core = w.rstrip(_TAIL) if w.isascii() and "<|" not in w and "'" not in w else w
-            parts[w] = (core, w[len(core):]) if core else (w, "")
+            parts[w] = (core, w[len(core):]) if core and core[-1].isalnum() else (w, "")
         new = list({p for pair in parts.values() for p in pair if p and p not in self.known})
         self.known.update(zip(new, self._ids(new)))
         for w, (core, tail) in parts.items():

@@ -9,7 +9,9 @@ from hubmetrics.llm.common import table
 from hubmetrics.llm.decontamination import contamination
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import packed
+from hubmetrics.llm.quality import quality_scores
 from hubmetrics.llm.token_counts import token_counts
+from hubmetrics.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +35,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql=r"""
     WITH RECURSIVE word AS (
-        SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(
+        SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+            '[^\x20\x09-\x0D]+') AS w
         FROM documents),
     shingle AS (
         SELECT DISTINCT r, array_to_string(w[s : s + 2], ' ') AS g
@@ -60,6 +62,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from weak labels; no given label is read."""
+    return quality_scores(table(spark, sf_dir, "documents")).drop("_row")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four folds of five."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).drop("_row")
+
+
 @query(sql=r"""
     WITH doc AS (
         SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
