@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hubmetrics.llm.common import table
 from hubmetrics.llm.decontamination import contamination
+from hubmetrics.llm.embed_dedup import similar_vectors
+from hubmetrics.llm.licenses import license_scan
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import packed
 from hubmetrics.llm.quality import quality_scores
 from hubmetrics.llm.token_counts import token_counts
 from hubmetrics.llm.toxicity import fit_toxicity, toxicity_scores
+from hubmetrics.llm.warc import read_warc, write_warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +66,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by its place in the index."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return read_warc(write_warc(pages)).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query()
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a cosine of 0.95 or more, found by E8 lattice hashing."""
+    return similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @query()
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from weak labels; no given label is read."""
