@@ -10,6 +10,7 @@ from hubmetrics.llm.common import table
 from hubmetrics.llm.decontamination import contamination
 from hubmetrics.llm.embed_dedup import similar_vectors
 from hubmetrics.llm.licenses import license_scan
+from hubmetrics.llm.lm import lm_held_out
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import packed
 from hubmetrics.llm.quality import quality_scores
@@ -66,6 +67,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of four folds of five."""
+    return lm_held_out(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back by its place in the index."""
