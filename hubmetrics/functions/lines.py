@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -118,7 +119,7 @@ def described_lines(text: Column, codes: Mapping[str, str] = rules.ROUTE_LINES,
     Codes are matched as plain substrings, so a single letter may hit by chance; ``strict`` asks for whole words.
     """
     def hit(token: str) -> Column:
-        return text.rlike(rf"(?<!\w){token}(?!\w)") if strict else text.contains(token)
+        return text.rlike(rf"(?<!\w){re.escape(token)}(?!\w)") if strict else text.contains(token)
 
     found = F.array(*[F.when(hit(code) | hit(line), F.lit(line)) for code, line in codes.items()])
     return F.array_sort(F.array_distinct(F.array_compact(found)))

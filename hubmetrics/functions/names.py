@@ -59,11 +59,6 @@ def infer_line(suffix: Column, hints: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, suffix), F.get(by_word, 0), F.lit(""))
 
 
-def has_line(lines: Column, line: Column) -> Column:
-    """Whether the array holds the line, upper or lower case alike."""
-    return F.exists(lines, lambda x: F.lower(x) == F.lower(line))
-
-
 def surrogate_key(*parts: Column) -> Column:
     """A key that is the same in every run."""
     return F.sha2(F.concat_ws("|", *parts), 256)

@@ -18,12 +18,15 @@ from hubmetrics.storage import materialize
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], order: Column | None = None) -> DataFrame:
-    """New rows replace old ones with the same key; among new rows the last in ``order`` wins."""
+    """New rows replace old ones with the same key; among new rows the last in ``order`` wins.
+
+    Without an order, or among equals, the largest values win, so the result never depends on how rows are read.
+    """
     rank = F.lit(0).cast("bigint") if order is None else order.cast("bigint")
     columns = [*keys, *values]
     # Old rows have no rank and so lose against any new one.
     both = old.select(*columns, F.lit(None).cast("bigint").alias("_rank")).unionByName(new.select(*columns, rank.alias("_rank")))
-    return latest_by_key(both, keys, values, F.coalesce("_rank", F.lit(-(2**63))))
+    return latest_by_key(both, keys, values, F.struct(F.coalesce("_rank", F.lit(-(2**63))), *values))
 
 
 def upsert_daily(facts: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:
@@ -110,12 +113,12 @@ def pruned_counts(stations: DataFrame, facts: DataFrame, days: int = rules.RETEN
 def assign_lines(stations: DataFrame, line_rules: Sequence[tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
     """Set ``lines`` by rules over the name; the last rule that fits wins, stations no rule fits keep their lines.
 
-    A pattern with '%' is a LIKE pattern, any other must equal the name. The rules are one CASE expression, so no join
+    A pattern with '%' is a LIKE pattern whatever the case, any other must equal the name. The rules are one CASE expression, so no join
     is needed.
     """
     def fits(patterns: Sequence[str]) -> Column:
         equal = [p for p in patterns if "%" not in p]
-        tests = [F.col("name").like(p) for p in patterns if "%" in p]
+        tests = [F.col("name").ilike(p) for p in patterns if "%" in p]
         if equal:
             tests.append(F.col("name").isin(equal))
         any_fits = tests[0]

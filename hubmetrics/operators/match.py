@@ -171,14 +171,26 @@ def match_by_score(
     result does not depend on the order of the records.
     """
     resolved = lookup_table(resolve_pairs(records, stations, hints, special), "resolved")
-    return records.join(resolved, ["ridership_id", "stationname"], "left")
+    return _keep_all(records, resolved, ["ridership_id", "stationname"])
+
+
+def _keep_all(records: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a missing key equals a missing key; all conditions stay equalities of columns."""
+    theirs = resolved.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in resolved.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & records[k].eqNullSafe(theirs[f"_r_{k}"])
+    return records.join(theirs, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def resolve_pairs(
     records: DataFrame, stations: DataFrame, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES,
 ) -> DataFrame:
-    """The match of every distinct (ridership_id, stationname). The distinct pairs are written once and used often."""
+    """The match of every distinct (ridership_id, stationname). The distinct pairs are written once and used often.
+
+    A missing or blank id is no id: it finds by name, teaches nothing and learns nothing.
+    """
     pairs = materialize(records.select("ridership_id", "stationname").distinct(), "pairs")
     known = _by_ridership_id(stations).withColumnRenamed("station_id", "_known")
     named = scored_names(pairs, stations, hints, special).select("stationname", F.col("station_id").alias("_named"))
@@ -186,7 +198,8 @@ def resolve_pairs(
         "ridership_id", "stationname", F.coalesce("_known", "_named").alias("_found")
     )
     first = materialize(first, "first")
-    learned = lookup_table(first.groupBy("ridership_id").agg(F.min("_found").alias("_learned")), "learned")
+    with_id = first.where(F.trim("ridership_id") != "")
+    learned = lookup_table(with_id.groupBy("ridership_id").agg(F.min("_found").alias("_learned")), "learned")
     return first.join(learned, "ridership_id", "left").select(
         "ridership_id", "stationname", F.coalesce("_found", "_learned").alias("station_id")
     )
@@ -205,22 +218,29 @@ def learned_ids(
 def unmatched_reasons(
     names: DataFrame, stations: DataFrame, hints: Mapping[str, str] = rules.LINE_HINTS, name: str = "stationname"
 ) -> DataFrame:
-    """Add ``reason`` to names that did not match: the wrong line, or no such base name."""
+    """Add ``reason`` to names that did not match: the wrong line, or no such base name.
+
+    Line mismatch is said only if none of the stations with that base name has the line.
+    """
     seen = stations.select(
         "station_id", F.col("name").alias("_name"), "lines", normalize_name(strip_paren(F.col("name"))).alias("_base")
     )
-    by_base = lookup_table(seen.groupBy("_base").agg(F.min_by(F.struct("_name", "lines"), "station_id").alias("_seen")), "bases")
+    by_base = lookup_table(seen.groupBy("_base").agg(
+        F.min_by(F.struct("_name", "lines"), "station_id").alias("_seen"),
+        F.array_distinct(F.flatten(F.collect_set(F.transform("lines", F.lower)))).alias("_served"),
+    ), "bases")
     cut = split_name(F.col(name))
     keyed = names.withColumns({"_base": normalize_name(cut["base"]), "_line": infer_line(cut["suffix"], hints)})
     mismatch = F.format_string(
         "Base name matches '%s' but line mismatch (expected: %s, found: [%s])",
         F.col("_seen._name"), F.col("_line"), F.concat_ws(" ", F.col("_seen.lines")),
     )
-    wrong_line = F.col("_seen").isNotNull() & (F.col("_line") != "")
+    served = F.coalesce(F.array_contains(F.col("_served"), F.lower("_line")), F.lit(False))
+    wrong_line = F.col("_seen").isNotNull() & (F.col("_line") != "") & ~served
     return (
         keyed.join(by_base, "_base", "left")
         .withColumn("reason", F.when(wrong_line, mismatch).otherwise(NO_BASE))
-        .drop("_base", "_line", "_seen")
+        .drop("_base", "_line", "_seen", "_served")
     )
 
 

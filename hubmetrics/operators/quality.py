@@ -56,17 +56,21 @@ def match_summary(matched: DataFrame) -> DataFrame:
 def days_with_data(stations: DataFrame, facts: DataFrame) -> DataFrame:
     """Per station name: days with data, first and last date; stations without data are kept.
 
-    Several stations may share a name; a day then counts once, so the facts are reduced to distinct (name, day) first.
+    Several stations may share a name; a day then counts once. The facts are reduced to distinct (station, day) before they
+    meet the stations, so a station with very many facts is one row per day and task; the names without data are added last.
     """
-    days = (
-        stations.select("station_id", "name").join(facts.select("station_id", "service_date"), "station_id", "left")
-        .select("name", "service_date").distinct()
-    )
-    return days.groupBy("name").agg(
+    days = facts.select("station_id", "service_date").distinct()
+    named = days.join(stations.select("station_id", "name"), "station_id").select("name", "service_date").distinct()
+    counted = named.groupBy("name").agg(
         F.count("service_date").alias("days_with_data"),
         F.min("service_date").alias("earliest_date"),
         F.max("service_date").alias("latest_date"),
     )
+    names = stations.select(F.col("name").alias("_name")).distinct()
+    return names.join(counted, F.col("_name").eqNullSafe(F.col("name")), "left").select(
+        F.col("_name").alias("name"), F.coalesce("days_with_data", F.lit(0)).cast("bigint").alias("days_with_data"),
+        "earliest_date", "latest_date",
+    )
 
 
 def station_totals(stations: DataFrame, facts: DataFrame) -> DataFrame:
@@ -121,8 +125,8 @@ def malformed_lines(stations: DataFrame, limit: int | None = 20) -> DataFrame:
 
 
 def any_like(column: str, patterns: Sequence[str]):
-    """Whether a column fits one of some LIKE patterns."""
-    return F.exists(F.array(*[F.col(column).like(p) for p in patterns]), lambda hit: hit)
+    """Whether a column fits one of some LIKE patterns, whatever the case."""
+    return F.exists(F.array(*[F.col(column).ilike(p) for p in patterns]), lambda hit: hit)
 
 
 def external_id_status(stations: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from hubmetrics.plans.ordered import with_position
 from hubmetrics.storage import lookup_table, materialize
 
 GROUP = ["line", "offset_px", "is_loop", "corridor"]
-MAX_SEGMENTS_PER_FEATURE = 100_000
 
 
 def explode_lines(
@@ -187,15 +186,15 @@ def stitch_order(exploded: DataFrame) -> DataFrame:
     )
 
 
-def stitched_features(ordered: DataFrame, max_segments: int = MAX_SEGMENTS_PER_FEATURE) -> DataFrame:
+def stitched_features(ordered: DataFrame, max_segments: int | None = None) -> DataFrame:
     """One row per path with its points; the properties are those of its least segment.
 
-    A path of more than ``max_segments`` segments comes as several features that share their joints, so that no row
-    grows without bound; their segment counts add up to the whole.
+    A path is one row, however long; ``stitch_order`` has the same path as one row per segment. A caller who gives
+    ``max_segments`` gets longer paths as several features that share their joints, numbered by ``part``.
     """
     start = F.when(F.col("reversed"), F.col("p2")).otherwise(F.col("p1"))
     end = F.when(F.col("reversed"), F.col("p1")).otherwise(F.col("p2"))
-    part = F.floor((F.col("position") - 1) / max_segments).alias("part")
+    part = (F.lit(0).cast("bigint") if max_segments is None else F.floor((F.col("position") - 1) / max_segments)).alias("part")
     steps = F.array_sort(F.collect_list(F.struct("position", start.alias("start"), end.alias("end"))))
     least = F.min(F.struct("segment_id", "shared_count", "shared_index"))
     merged = ordered.groupBy("path_id", *GROUP, part).agg(
@@ -208,7 +207,7 @@ def stitched_features(ordered: DataFrame, max_segments: int = MAX_SEGMENTS_PER_F
     )
 
 
-def stitch(exploded: DataFrame, only_loop: bool = True, max_segments: int = MAX_SEGMENTS_PER_FEATURE) -> DataFrame:
+def stitch(exploded: DataFrame, only_loop: bool = True, max_segments: int | None = None) -> DataFrame:
     """Stitched features; segments outside the loop pass through unchanged unless ``only_loop`` is off."""
     if not only_loop:
         return stitched_features(stitch_order(exploded), max_segments)

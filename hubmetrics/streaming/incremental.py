@@ -144,8 +144,3 @@ def run_available(
     )
     query.awaitTermination()
     return query
-
-
-def stream_files(spark: SparkSession, folder: str, schema: StructType, pattern: str, fmt: str = "parquet") -> DataFrame:
-    """Landed files of another format as a stream."""
-    return spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", pattern).load(folder)

@@ -154,3 +154,30 @@ def test_hot_name_is_split_over_tasks(spark):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_missing_and_blank_ids_find_by_name_and_teach_nothing(spark):
+    known = stations(spark, [("s1", "Addison", ["Red"]), ("s2", "Belmont", ["Red"])])
+    records = spark.createDataFrame(
+        [(None, "Addison"), ("", "Belmont"), ("", "nowhere"), (None, "nowhere"), ("7", "Belmont"), ("7", "elsewhere")],
+        "ridership_id string, stationname string")
+    found = {(r.ridership_id, r.stationname): r.station_id for r in X.match_by_score(records, known).collect()}
+    assert found == {
+        (None, "Addison"): "s1", ("", "Belmont"): "s2", ("", "nowhere"): None, (None, "nowhere"): None,
+        ("7", "Belmont"): "s2", ("7", "elsewhere"): "s2",
+    }
+
+
+def test_upsert_without_an_order_does_not_depend_on_it(spark):
+    facts = spark.createDataFrame([], "station_id string, service_date date, entries long")
+    rows = [("a", 9), ("a", 5)]
+    for given in (rows, rows[::-1]):
+        batch = spark.createDataFrame(given, "station_id string, entries long").selectExpr(
+            "station_id", "DATE'2024-01-01' AS service_date", "entries").coalesce(1)
+        assert [r.entries for r in U.upsert_daily(facts, batch).collect()] == [9]
+
+
+def test_line_rules_ignore_case(spark):
+    named = spark.createDataFrame([("Kedzie (blue)", ["X"]), ("Other", ["X"])], "name string, lines array<string>")
+    found = {r.name: r.lines for r in U.assign_lines(named, [(["%(Blue)%"], ["Blue"])]).collect()}
+    assert found == {"Kedzie (blue)": ["Blue"], "Other": ["X"]}
