@@ -276,13 +276,19 @@ def candidate_edges(signed: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between nodes that connect all nodes whose sets may be similar."""
     tokens = signed.where("node IS NOT NULL").select("node", "n", F.explode("prefix").alias("token"))
     shared = (
-        tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"))
-        .where("lo <> hi").select("token", F.ceil(F.col("c") / BLOCK_NODES).alias("blocks"))
+        tokens.groupBy("token").agg(
+            F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"),
+            F.min("n").alias("low"), F.max("n").alias("high"))
+        # Most shared shingles are shared by two rows; many of these differ too much in size.
+        .where("lo <> hi").where(f"c > 2 OR 100 * low >= {percent} * high")
+        .select("token", F.ceil(F.col("c") / BLOCK_NODES).alias("blocks"), (F.col("c") == 2).alias("pair"))
     )
     met = tokens.join(materialize(shared, "shingles"), "token").distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
     # Similar sets lie in the same band or in neighbouring ones, so each row also visits the band above its own.
-    banded = met.withColumn("band", F.explode(F.array(band, band + 1)))
+    # A shingle of two rows of similar size needs one tile only.
+    bands = F.when(F.col("pair"), F.array(F.lit(0).cast("bigint"))).otherwise(F.array(band, band + 1))
+    banded = met.withColumn("band", F.explode(bands)).drop("pair")
     sheets = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"))
     tiles = _block_tiles(banded, "token", "blocks").join(sheets, "node")
 
