@@ -31,7 +31,7 @@ from hubmetrics.storage import materialize
 
 #: Hash buckets in which shingles are counted; the order of shingles follows the counts.
 COUNT_BITS = 18
-#: Bits of a bitmap: as many as the set has elements or more, between these bounds (powers of two).
+#: Bits of a bitmap: three for every four elements of the set or more, between these bounds (powers of two).
 MIN_BITS, MAX_BITS = 1 << 8, 1 << 12
 #: Nodes of one block of a busy shingle, and bytes of sets of one block of a large cluster.
 BLOCK_NODES = 2048
@@ -69,7 +69,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 def bitmap(shingles: np.ndarray) -> bytes:
     bits = MIN_BITS
-    while bits < min(len(shingles), MAX_BITS):
+    while bits < min(3 * len(shingles) // 4, MAX_BITS):
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(shingles >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
