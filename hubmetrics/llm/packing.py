@@ -2,8 +2,9 @@
 
 Texts longer than a window give whole windows and a rest. The histogram of the rests, at most one number per length, goes
 to the driver: there the combinations of two or three lengths that fill a window exactly are listed, non-negative least
-squares finds how often to use each, the counts are rounded down to what the histogram allows, and what is left is packed
-greedily, longest first, cutting the piece that crosses the end of a window. So every window is full but the last one.
+squares finds how often to use each, and the counts are rounded to what the histogram allows. What is left is packed greedily,
+longest first, each time with the most frequent lengths that fill the window; the little that fits nowhere is laid in a
+line and cut at the ends of windows. So every window is full but the last one.
 
 The plan is a table of (length, rank) ranges whose size depends on the window alone. Pieces get their rank within their
 length from a distributed numbering, and from it their window and place by arithmetic: no piece passes the driver.
@@ -158,6 +159,31 @@ def least_squares(rows: np.ndarray, wanted: np.ndarray, rounds: int = ROUNDS) ->
     return x
 
 
+def filled(left: np.ndarray, length: int, window: int) -> list[int] | None:
+    """Lengths that fill a window together with ``length``, out of what is left; the most frequent ones that do."""
+    spare = left.copy()
+    spare[window:] = 0
+    spare[length] -= 1
+    lengths, gap = [length], window - length
+    while gap > 0:
+        if spare[gap] > 0:
+            return [*lengths, gap]
+        b = np.arange(1, gap // 2 + 1)
+        both = np.minimum(spare[b], spare[gap - b])
+        both[(b == gap - b) & (spare[b] < 2)] = 0
+        if len(both) and both.max() > 0:
+            best = int(b[np.argmax(both)])
+            return [*lengths, best, gap - best]
+        small = spare[1: gap // 2 + 1]
+        if not len(small) or small.max() <= 0:
+            return None
+        best = 1 + int(np.argmax(small))
+        spare[best] -= 1
+        lengths.append(best)
+        gap -= best
+    return lengths
+
+
 class Plan:
     """Where the piece of a given length and rank goes."""
 
@@ -192,8 +218,14 @@ class Plan:
                 times = min([int(np.floor(x[k] + 0.5)), *(int(left[v]) // n for v, n in each.items())])
                 if times > 0:
                     use(lengths, times)
+        for length in range(window - 1, 0, -1):
+            while left[length] > 0:
+                lengths = filled(left, length, window)
+                if lengths is None:
+                    break
+                use(lengths, min(int(left[v]) // lengths.count(v) for v in set(lengths)))
         self.first_rest = taken.copy()
-        # Residuals: longest first in one line, cut at every window.
+        # What fits nowhere: longest first in one line, cut at every window.
         self.line = np.zeros(window + 1, np.int64)
         at = 0
         for length in range(window - 1, 0, -1):
