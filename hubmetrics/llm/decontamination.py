@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hubmetrics.storage import materialize
+
 #: Words of a hashed k-gram within windows of ten words; shorter windows are hashed whole.
 GRAM = 5
 #: Bits of the map that sorts out fingerprints the benchmark lacks. A full map lets more through and changes no result.
@@ -173,10 +175,10 @@ def contamination(
         lambda x: F.flatten(F.transform(x["starts"], lambda s: F.sequence(s, s + x["length"] - 1))),
     ))
     # Pieces of one document only: bounded by its length and by the benchmark.
-    grouped = hits.groupBy("_key").agg(
+    grouped = materialize(hits.groupBy("_key").agg(
         F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"),
         F.collect_set("text_class").alias("_classes"),
-    )
+    ), "hits")
     # Equal sets of classes are looked up once: copies of a popular passage share them.
     names = item_classes(benchmark, item_id, item_text).where("item_id IS NOT NULL").select(
         F.col("item_id").cast("string").alias("_item"), "text_class").distinct()
@@ -188,9 +190,9 @@ def contamination(
     )
     # Rows without any item get a key of their own, so that they do not all meet in one partition.
     placed = grouped.withColumns({
-        "_set": F.array_sort("_classes"),
-        "_own": F.when(F.size("_classes") > 0, F.lit(-1)).otherwise(F.col("_key._row")),
-    }).join(lists.withColumn("_own", F.lit(-1).cast("bigint")), ["_set", "_own"], "left")
+        "_set": F.when(F.size("_classes") > 0, F.to_json(F.array_sort("_classes")))
+        .otherwise(F.concat(F.lit("row "), F.col("_key._row").cast("string"))),
+    }).join(lists.select(F.to_json("_set").alias("_set"), "_items"), "_set", "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     return placed.select(
         F.col("_key._id").alias(id_column), F.col("_key.n").alias("n_words"), "n_hit",
