@@ -404,8 +404,7 @@ def _loaded(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
 
     I.run_available(I.stream_records(spark, landing), load, scratch_path(spark, "progress"))
     facts = spark.read.parquet(f"{tables}/facts").select("station_id", "service_date", "entries", F.col("month").cast("string").alias("month"))
-    cutoffs = U.city_cutoffs(stations, facts, 365).select("station_id", "cutoff")
-    return tables, _dated(I.retained(facts, cutoffs), "service_date")
+    return tables, _dated(facts, "service_date")
 
 
 @query(_MATCH_CTE + _RESOLVED_FACTS + """, last AS (SELECT max(service_date) AS day FROM facts),

@@ -18,7 +18,7 @@ from hubmetrics.operators.metrics import station_metrics
 from hubmetrics.operators.score import low_use_score
 from hubmetrics.sources.ridership import parse_json_rows
 from hubmetrics.sources.tables import with_month, write_metrics, write_months
-from hubmetrics.storage import materialize
+from hubmetrics.storage import lookup_table, materialize
 
 FIRST_LOAD_DAYS = 7
 
@@ -66,6 +66,23 @@ class DailyFacts:
         merged = upsert_daily(old.drop("month"), batch.drop("month"), order)
         write_months(materialize(merged, "merged"), self.path)
 
+    def prune(self, like: DataFrame, cutoffs: DataFrame) -> None:
+        """Take facts older than their station's cutoff off the disk. Only months that hold such rows are written again."""
+        newest = cutoffs.agg(F.date_format(F.max("cutoff"), "yyyy-MM").alias("month")).first().month
+        if newest is None:
+            return
+        marked = self.read(like).where(F.col("month") <= newest).join(cutoffs, "station_id", "left")
+        # A short list, bounded by the calendar; months emptied before hold no rows and do not come up again.
+        months = {row.month for row in marked.where("service_date < cutoff").select("month").distinct().collect()}
+        if not months:
+            return
+        kept = marked.where(F.col("month").isin(list(months)) & F.expr("cutoff IS NULL OR service_date >= cutoff"))
+        kept = materialize(kept.drop("cutoff"), "kept")
+        left = {row.month for row in kept.select("month").distinct().collect()}
+        write_months(kept, self.path)
+        for month in sorted(months - left):
+            kept.where("false").drop("month").write.mode("overwrite").parquet(f"{self.path}/month={month}")
+
 
 def split_late(batch: DataFrame, cutoffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A batch cut into rows within retention and rows too old to keep, by the cutoffs (station_id, cutoff)."""
@@ -94,17 +111,36 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def match_with_learned(matched: DataFrame, tables: str, batch_id: int) -> DataFrame:
+    """Matched records, those without a station resolved by the ids that earlier batches learned.
+
+    What this batch teaches is stored with it: the smallest station of each id that is not blank. Batches with the same
+    or a higher number are not looked at, so that loading a batch again gives the same rows.
+    """
+    spark = matched.sparkSession
+    taught = matched.where("station_id IS NOT NULL AND trim(ridership_id) <> ''").groupBy("ridership_id").agg(
+        F.min("station_id").alias("station_id"))
+    taught.write.mode("overwrite").parquet(f"{tables}/learned/batch={batch_id}")
+    schema = taught.withColumn("batch", F.lit(batch_id).cast("bigint")).schema
+    stored = spark.read.schema(schema).parquet(f"{tables}/learned")
+    earlier = stored.where(F.col("batch") < batch_id).groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("_learned"))
+    known = matched.join(lookup_table(earlier, "earlier"), "ridership_id", "left")
+    return known.withColumn("station_id", F.coalesce("station_id", "_learned")).select(*matched.columns)
+
+
 def load_batch(
     records: DataFrame, batch_id: int, stations: DataFrame, tables: str, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, days: int = rules.RETENTION_DAYS,
 ) -> None:
     """Load one batch of typed records (ridership_id, stationname, service_date, entries) into the tables folder.
 
-    Rows older than the retention go to ``late``, unmatched ones to ``unmatched``, the rest to ``facts``; then the
-    metrics are made anew. Loading the same batch again gives the same tables. When one (station, day) comes twice in a batch, the larger count wins.
+    Rows older than the retention go to ``late``, unmatched ones to ``unmatched``, the rest to ``facts``, from which rows
+    past the retention are removed; then the metrics are made anew. Ids learned by name serve later batches. Loading the
+    same batch again gives the same tables. When one (station, day) comes twice in a batch, the larger count wins.
     """
     spark = records.sparkSession
-    matched = materialize(match_by_score(records, stations, hints, special), "matched")
+    named = materialize(match_by_score(records, stations, hints, special), "named")
+    matched = materialize(match_with_learned(named, tables, batch_id), "matched")
     found = matched.where(F.col("station_id").isNotNull()).select("station_id", "service_date", "entries")
     facts = DailyFacts(spark, f"{tables}/facts")
     cutoffs = batch_cutoffs(stations, found, _read_if_there(spark, f"{tables}/metrics"), days)
@@ -113,6 +149,7 @@ def load_batch(
     unmatched = matched.where(F.col("station_id").isNull()).drop("station_id")
     unmatched.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch_id}")
     facts.merge(timely, F.col("entries"))
+    facts.prune(found, cutoffs)
     kept = retained(facts.read(found), cutoffs)
     write_metrics(low_use_score(station_metrics(stations, kept)), f"{tables}/metrics")
 

@@ -61,6 +61,29 @@ def test_retained_reads_only_months_in_the_window(spark, tmp_path):
         "PartitionFilters: [coalesce((month" in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_loads_prune_the_disk_and_keep_learned_ids(spark, tmp_path):
+    tables = str(tmp_path / "tables")
+    stations = spark.createDataFrame([("A", "x", None, "Addison (Blue)", ["Blue"]), ("B", "y", "5", "Belmont", [])], STATION)
+    record = "ridership_id string, stationname string, service_date date, entries bigint"
+    rows = lambda *rs: spark.createDataFrame([(i, n, datetime.date.fromisoformat(d), e) for i, n, d, e in rs], record)
+    facts = lambda: {(r.station_id, str(r.service_date), r.entries) for r in spark.read.parquet(f"{tables}/facts").collect()}
+
+    first = rows(("9", "Addison-O'Hare", "2023-01-10", 1), ("9", "Addison-O'Hare", "2023-06-01", 2), ("9", "Addison-O'Hare", "2023-06-20", 3),
+                 ("5", "Belmont", "2023-01-12", 4))
+    I.load_batch(first, 0, stations, tables)
+    assert len(facts()) == 4
+    second = rows(("9", "Other spelling", "2024-06-10", 5), ("", "Other spelling", "2024-06-10", 6), (None, "Other spelling", "2024-06-10", 7))
+    # A's city moves on, B's city stands still; January keeps only B's row and no folder keeps a row that is too old.
+    expected = {("A", "2023-06-20", 3), ("A", "2024-06-10", 5), ("B", "2023-01-12", 4)}
+    for _ in range(2):
+        I.load_batch(second, 1, stations, tables)
+        assert facts() == expected
+    assert {r.entries for r in spark.read.parquet(f"{tables}/unmatched").collect()} == {6, 7}
+    I.load_batch(rows(("5", "Belmont", "2025-02-01", 8)), 2, stations, tables)
+    assert facts() == expected - {("B", "2023-01-12", 4)} | {("B", "2025-02-01", 8)}
+    assert spark.read.parquet(f"{tables}/facts").where("month = '2023-01'").count() == 0
+
+
 def test_mark_and_backfill(spark):
     today, day = datetime.date(2024, 1, 10), datetime.date(2024, 1, 5)
     facts = spark.createDataFrame([(day,)], "service_date date")
