@@ -403,7 +403,7 @@ def _loaded(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
         I.load_batch(batch, batch_id, stations, tables, HINTS, SPECIAL)
 
     I.run_available(I.stream_records(spark, landing), load, scratch_path(spark, "progress"))
-    facts = spark.read.parquet(f"{tables}/facts").select("station_id", "service_date", "entries", F.col("month").cast("string").alias("month"))
+    facts = spark.read.parquet(f"{tables}/facts").select("station_id", "service_date", "entries")
     return tables, _dated(facts, "service_date")
 
 
