@@ -274,23 +274,33 @@ def _block_tiles(rows: DataFrame, key: str, blocks: str) -> DataFrame:
 
 def candidate_edges(signed: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between nodes that connect all nodes whose sets may be similar."""
-    tokens = signed.where("node IS NOT NULL").select("node", "n", F.explode("prefix").alias("token"))
-    shared = (
-        tokens.groupBy("token").agg(
-            F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"),
-            F.min("n").alias("low"), F.max("n").alias("high"))
-        # Most shared shingles are shared by two rows; many of these differ too much in size.
-        .where("lo <> hi").where(f"c > 2 OR 100 * low >= {percent} * high")
-        .select("token", F.ceil(F.col("c") / BLOCK_NODES).alias("blocks"), (F.col("c") == 2).alias("pair"))
+    known = signed.where("node IS NOT NULL")
+    tokens = known.select("node", F.explode("prefix").alias("token"))
+    two = F.col("c") == 2
+    shared = materialize(
+        tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"))
+        .where("lo <> hi")
+        .select(F.when(~two, F.col("token")).alias("token"), F.ceil(F.col("c") / BLOCK_NODES).alias("blocks"),
+                F.when(two, F.col("lo")).alias("lo"), F.when(two, F.col("hi")).alias("hi")), "shingles")
+    sheets = known.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    # Most shared shingles are shared by two rows. Such a pair meets once, however many shingles it shares, and only if
+    # its sizes allow a link.
+    sizes = sheets.select("node", "n")
+    pairs = (
+        shared.where("lo IS NOT NULL").select("lo", "hi").distinct()
+        .join(sizes.select(F.col("node").alias("lo"), F.col("n").alias("n_lo")), "lo")
+        .join(sizes.select(F.col("node").alias("hi"), F.col("n").alias("n_hi")), "hi")
+        .where(100 * F.least("n_lo", "n_hi") >= percent * F.greatest("n_lo", "n_hi"))
+        .select(F.explode(F.array("lo", "hi")).alias("node"), F.xxhash64("lo", "hi").alias("token"),
+                F.lit(1).cast("bigint").alias("blocks"), F.lit(True).alias("pair"))
     )
-    met = tokens.join(materialize(shared, "shingles"), "token").distinct()
+    groups = tokens.join(shared.where("token IS NOT NULL").select("token", "blocks"), "token").distinct()
+    met = groups.select("node", "token", "blocks", F.lit(False).alias("pair")).unionByName(pairs).join(sheets, "node")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
     # Similar sets lie in the same band or in neighbouring ones, so each row also visits the band above its own.
-    # A shingle of two rows of similar size needs one tile only.
-    bands = F.when(F.col("pair"), F.array(F.lit(0).cast("bigint"))).otherwise(F.array(band, band + 1))
-    banded = met.withColumn("band", F.explode(bands)).drop("pair")
-    sheets = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bits").alias("bits"))
-    tiles = _block_tiles(banded, "token", "blocks").join(sheets, "node")
+    # A pair needs one tile only.
+    bands = F.when(F.col("pair"), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(band, band + 1))
+    tiles = _block_tiles(met.withColumn("band", F.explode(bands)), "token", "blocks")
 
     def make():
         def run(nodes, sizes, bits):
