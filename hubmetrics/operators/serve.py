@@ -105,7 +105,7 @@ def station_details(stations: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-def find_station(stations: DataFrame, station_id, city_code: str) -> DataFrame:
+def find_station(stations: DataFrame, station_id, city_code: Column | str) -> DataFrame:
     """The station with that id, no row if it lies in another city."""
     return stations.where((F.col("station_id") == F.lit(station_id)) & (F.col("city_code") == F.lit(city_code)))
 

@@ -199,9 +199,7 @@ def system_averages(spark: SparkSession, sf: str) -> DataFrame:
 def station_lookup(spark: SparkSession, sf: str) -> DataFrame:
     scored = _scored(spark, sf)
     city = supplier_stations(spark, sf).where("station_id = 7").select("city_code").scalar()
-    return scored.where((F.col("station_id") == 7) & (F.col("city_code") == city)).select(
-        "station_id", "name", "city_code", "score", "rolling_30d_avg"
-    )
+    return V.find_station(scored, 7, city).select("station_id", "name", "city_code", "score", "rolling_30d_avg")
 
 
 @query(with_ctes("facts", """
