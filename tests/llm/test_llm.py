@@ -219,6 +219,37 @@ def test_language_model(spark, monkeypatch):
     assert lm.lm_held_out(frame(spark, [])).count() == 0
 
 
+def test_language_model_pairs_of_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_ROWS", 3)
+    texts = ["the " * 350_000, "rare pair", "rare pair again", *[f"one{k} the" for k in range(20)], "the one3 one4", "hot rare", "hot pair", "hot rare pair"]
+    count, pairs, follows = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        w = words_of(t) + [b""]
+        count.update(w)
+        pairs.update(zip(w, w[1:]))
+    divisor = sum(count.values()) + 0.5 * (len(count) + 1)
+    own = lambda w: (count[w] + 0.5) / divisor
+    prior = max(lm.PRIORS, key=lambda m: sum(c * math.log((c - 1 + m * own(b)) / (count[a] - 1 + m)) for (a, b), c in pairs.items()))
+    for (a, _), c in pairs.items():
+        follows[a] += c if c >= 2 else 0
+    asked = ["rare pair", "hot rare pair again", "pair", "unseen pair", "one3 one4 the"]
+    model = lm.train(frame(spark, list(enumerate(texts))))
+    assert sum(s[2] for s in model.pair_shards) == sum(c >= 2 for c in pairs.values())
+    for r in lm.lm_scores(frame(spark, list(enumerate(asked))), model).collect():
+        w = words_of(asked[r.doc_id]) + [b""]
+        score = math.log10(own(w[0]))
+        for a, b in zip(w, w[1:]):
+            c = pairs[a, b] if pairs[a, b] >= 2 else 0
+            score += math.log10((c / (count[a] + prior) if c else 0) + (1 - follows[a] / (count[a] + prior) if a in count else 1) * own(b))
+        assert math.isclose(r.score, score, abs_tol=1e-3 * len(w)), asked[r.doc_id]
+
+
+def test_pair_shards_split_a_context():
+    pairs = lm.Pairs([(1, 5, 2, ""), (1, 9, 2, ""), (1, 12, 2, ""), (4, 2, 1, ""), (1 << 40, 1 << 40, 1, "")])
+    a, b = [0, 1, 1, 1, 1, 1, 2, 4, 4, 1 << 40, 1 << 40], [9, 4, 5, 8, 9, 99, 0, 1, 2, 3, 1 << 40]
+    assert pairs.shard(np.array(a), np.array(b)).tolist() == [-1, -1, 0, 0, 1, 2, 2, 2, 3, 3, 4]
+
+
 # WARC
 
 
