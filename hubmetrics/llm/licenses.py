@@ -1,10 +1,11 @@
 """Licence scan with a positional index of rare tokens.
 
 The index maps each word of the templates to its places in them. How many rows have each of these words is counted over the
-whole table, and words that fewer rows have weigh more. In a text the template words it has are looked up, rarest first;
-each occurrence of a word votes for the place in the text where a template would have to start. Starts with enough weight
-are verified: the template's mandatory phrases have to stand there, in order and close by. Base phrases are found wherever
-their words stand side by side, whatever the index says.
+whole table, and words that fewer rows have weigh more. In a text the template words it has are looked up, rarest first. The
+rarest word of a template's first mandatory phrase that the text has opens candidates: each of its occurrences tells where
+the template would have to start. Every candidate is verified: the first phrase has to stand in its place, the others after
+it, in order and close by. So a text with a template's mandatory phrases has its label, however little of the rest it has.
+Base phrases are found wherever their words stand side by side, whatever the index says.
 """
 
 from __future__ import annotations
@@ -43,10 +44,7 @@ TEMPLATES = (
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license", "2 0")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: Rare words of a text that vote, per template, and the share of a template's weight that its votes must reach.
-RARE_WORDS = 4
-MIN_SHARE = 0.5
-#: Words by which a phrase may stand off its place in the template.
+#: Words by which a word, or three times by which a later phrase, may stand off its place in the template.
 SLACK = 6
 
 
@@ -59,46 +57,56 @@ class Index:
         self.phrases = [[p.encode() for p in t[2]] for t in templates]
         self.weight = {w: math.log((rows + 1) / (rows_with.get(w, 0) + 1)) + 1e-6 for ws in self.words for w in ws}
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.wanted = []
+        self.first: list[tuple[frozenset[bytes], int, int]] = []
         for t, ws in enumerate(self.words):
-            chosen = sorted(set(ws), key=lambda w: (-self.weight[w], w))[:RARE_WORDS]
-            self.wanted.append(sum(self.weight[w] for w in chosen))
             for k, w in enumerate(ws):
-                if w in chosen:
-                    self.postings[w].append((t, k))
+                self.postings[w].append((t, k))
+            phrase = self.phrases[t][0].split()
+            place = next(k for k in range(len(ws)) if ws[k: k + len(phrase)] == phrase)
+            self.first.append((frozenset(phrase), place, place + len(phrase)))
 
-    def find(self, words: list[bytes], joined: bytes) -> dict[str, float]:
-        """Labels found in a text, with the share of their rare words' weight."""
+    def find(self, words: list[bytes]) -> dict[str, float]:
+        """Labels found in a text, with the share of the weight of the template words it has that stand in their places."""
         present = self.postings.keys() & set(words)
-        if not present:
-            return {}
-        votes: dict[tuple[int, int], dict[bytes, float]] = defaultdict(dict)
-        rare = sorted(present, key=lambda w: -self.weight[w])
+        rare = sorted(present, key=lambda w: (-self.weight[w], w))
+        possible = {t for t, (phrase, _, _) in enumerate(self.first) if phrase <= present}
+        found: dict[str, float] = {}
         for w in rare:
+            anchors = defaultdict(list)
+            for t, k in self.postings[w]:
+                if t in possible and self.first[t][1] <= k < self.first[t][2]:
+                    anchors[t].append(k)
+            if not anchors:
+                continue
+            possible -= anchors.keys()  # a rarer word of the phrase has opened all places where it can stand
             at = -1
             for _ in range(words.count(w)):
                 at = words.index(w, at + 1)
-                for t, k in self.postings[w]:
-                    # Neighbouring starts share a slot, so a missing or added word does not part the votes.
-                    for slot in {(at - k) // SLACK, (at - k + SLACK // 2) // SLACK}:
-                        votes[t, slot][w] = self.weight[w]
-        found: dict[str, float] = {}
-        for (t, slot), by_word in votes.items():
-            share = min(1.0, sum(by_word.values()) / self.wanted[t])
-            if share >= MIN_SHARE and found.get(self.labels[t], 0.0) < share and self._verified(t, slot * SLACK, words):
-                found[self.labels[t]] = share
+                for t, places in anchors.items():
+                    label = self.labels[t]
+                    for k in places:
+                        if found.get(label, 0.0) < 1.0 and self._verified(t, at - k, words):
+                            found[label] = max(found.get(label, 0.0), self._share(t, at - k, words, present))
         return found
 
     def _verified(self, t: int, start: int, words: list[bytes]) -> bool:
-        low = max(start - 2 * SLACK, 0)
-        part = b" " + b" ".join(words[low: max(start, 0) + len(self.words[t]) + 3 * SLACK]) + b" "
+        _, place, end = self.first[t]
+        if start + place < 0 or b" ".join(words[start + place: start + end]) != self.phrases[t][0]:
+            return False
+        rest = b" " + b" ".join(words[start + end: start + len(self.words[t]) + 3 * SLACK]) + b" "
         at = 0
-        for phrase in self.phrases[t]:
-            at = part.find(b" " + phrase + b" ", at)
+        for phrase in self.phrases[t][1:]:
+            at = rest.find(b" " + phrase + b" ", at)
             if at < 0:
                 return False
+            at += len(phrase) + 1
         return True
 
+    def _share(self, t: int, start: int, words: list[bytes], present: set[bytes]) -> float:
+        own = present & set(self.words[t])
+        near = {w for k, w in enumerate(self.words[t]) if w in words[max(start + k - SLACK, 0): max(start + k + SLACK + 1, 0)]}
+        return min(1.0, sum(map(self.weight.get, sorted(near))) / sum(map(self.weight.get, sorted(own))))
+
 
 def _document_counts(docs: DataFrame, text: str, vocabulary: list[bytes]) -> tuple[int, dict[bytes, int]]:
     """Rows, and rows that have each template word: a table as long as the vocabulary."""
@@ -130,7 +138,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     ``n_base`` counts all places of base phrases, ``first_word`` and ``last_word`` are the smallest and largest of their
     starts (NULL without any). ``labels`` are the base labels and those of verified templates. ``score`` is 1 with a base
-    phrase, else the best share of a verified template's rare-word weight. NULL and empty texts have no words, no labels
+    phrase, else the best share, over verified templates, of the weight of the template words in the text. NULL and empty texts have no words, no labels
     and score 0. Repeated rows and NULL ids are each scanned; an empty table gives no rows; other columns do not matter.
     """
     base = dict(base or BASE_PHRASES)
@@ -156,7 +164,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                         starts.append(joined.count(b" ", 0, at + 1) - 1)
                         own.add(label)
                         at = joined.find(needle, at + 1)
-                found = index.find(words, joined)
+                found = index.find(words)
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(starts))
                 out["first_word"].append(min(starts, default=None))

@@ -19,7 +19,7 @@ from hubmetrics.llm.common import ASCII_LOWER, words_of
 from hubmetrics.llm.decontamination import contamination
 from hubmetrics.llm.embed_dedup import similar_vectors
 from hubmetrics.llm.graph import components
-from hubmetrics.llm.licenses import BASE_PHRASES, license_scan
+from hubmetrics.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import Plan, packed
 from hubmetrics.llm.queries import ORACLES, QUERIES
@@ -356,6 +356,22 @@ def test_licence_places(spark):
     assert license_scan(frame(spark, [])).count() == 0
 
 
+def test_licence_notices_cut_short(spark):
+    """A third of the rows hold no more of a template than its mandatory phrases."""
+    gap = " x x x x "
+    notices = [(label, gap.join(phrases)) for label, _, phrases in TEMPLATES]
+    rows = [(k, f"some words {notices[k // 3 % len(notices)][1]}, and more" if k % 3 == 0 else f"plain text {k}") for k in range(39 * 3)]
+    rows += [(900, "Permission is hereby granted, free of " + "x " * 9 + "charge"), (901, "version 3 of the gnu general public license"),
+             (902, " ".join(n for _, n in notices)), (903, "charge granted hereby " * 50 + "permission is hereby granted free of charge"),
+             (904, "gnu general public license " + "x " * 99 + "version 3"), (905, "redistribution and use in source and binary forms")]
+    got = {r.doc_id: r for r in license_scan(frame(spark, rows)).collect()}
+    for k in range(39 * 3):
+        assert got[k].labels == (notices[k // 3 % len(notices)][0] if k % 3 == 0 else ""), rows[k]
+        assert (got[k].score > 0) == (k % 3 == 0)
+    assert [got[k].labels for k in (900, 901, 903, 904, 905)] == ["", "", "mit", "", "bsd-3"]
+    assert set(got[902].labels.split(",")) == {n for n, _ in notices}
+
+
 # Embeddings
 
 
