@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from hubmetrics.llm.common import table
 from hubmetrics.llm.decontamination import contamination
 from hubmetrics.llm.embed_dedup import similar_vectors
+from hubmetrics.llm.importance import importance_resample
+from hubmetrics.llm.lexical import lexical_search
 from hubmetrics.llm.licenses import license_scan
 from hubmetrics.llm.lm import lm_held_out
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import packed
+from hubmetrics.llm.piece_bpe import encode_pieces
 from hubmetrics.llm.quality import quality_scores
 from hubmetrics.llm.token_counts import token_counts
 from hubmetrics.llm.toxicity import fit_toxicity, toxicity_scores
@@ -139,3 +142,47 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a run of ten words of a benchmark item."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_row")
+
+
+@query(sql=r"""
+    WITH doc AS (
+        SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents),
+    total AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM doc),
+    asked AS (
+        SELECT item_id, i, t, count(*) AS times
+        FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+              FROM benchmark)
+        GROUP BY ALL),
+    found AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+    weight AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, total GROUP BY t, n),
+    scored AS (
+        SELECT i, item_id, r, doc_id, CAST(sum(times * weight.w
+            * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * len(doc.w) * n) // l))))) AS BIGINT) AS score
+        FROM asked JOIN weight USING (t) JOIN found USING (t) JOIN doc USING (r), total
+        GROUP BY i, item_id, r, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0)
+    SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 20""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for each benchmark item."""
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A draw of five per cent of the documents, weighted towards the benchmark's texts."""
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the 32k piece vocabulary, and the text that they decode to."""
+    both = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
