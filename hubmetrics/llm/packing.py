@@ -27,8 +27,8 @@ from hubmetrics.storage import materialize
 #: Combinations of three lengths are listed for first lengths on this grid.
 GRID = 16
 ROUNDS = 200
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-MAX_WORDS = 1 << 20
+#: Words whose ids a task remembers; beyond it the memory starts anew, and at the task's end it is given back.
+MAX_WORDS = 1 << 19
 #: Trailing ASCII characters that the word splitters of the vocabulary part from letters and digits.
 _TAIL = ",.;:!?*%$&#|()[]"
 
@@ -42,20 +42,22 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
         probe = ["two words", "a  b\nc"]
         for text in probe:
             if self._ids([text])[0] != b"".join(self._ids(text.split())):
                 raise ValueError("this vocabulary's tokens cross white space")
 
+    def forget(self) -> None:
+        self.known: dict[str, bytes] = {"": b""}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of new words. A plain word with trailing marks is its core's ids and those of the marks."""
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
-            self.known[""] = b""
+            self.forget()
         parts = {}
         for w in words:
             core = w.rstrip(_TAIL) if w.isascii() and "<|" not in w and "'" not in w else w
@@ -70,13 +72,13 @@ class WordIds:
         # Only these blanks are split at here; the tokenizer itself drops any other white space within a part.
         text = text or ""
         words = (text.lower() if text.isascii() and "<|" not in text else text).replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self._learn(list({w for w in words if w not in known}))
-            if any(w not in known for w in words):
-                self._learn(list(set(words)))
+            different = set(words)
+            self._learn(list(different.difference(self.known)))
+            if not different <= self.known.keys():
+                self._learn(list(different))
             return b"".join([self.known[w] for w in words])
 
 
@@ -108,6 +110,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFr
 
         def run(ids=None, rows=None, texts=None):
             if ids is None:
+                tokens.forget()
                 return
             got = {f.name: [] for f in out}
             for key, row, text in zip(ids, rows, texts):

@@ -24,7 +24,8 @@ COLUMNS = 1 << 12
 #: A heuristic is assumed to vote bad at least so many times as often on bad texts as on good ones.
 BAD_ODDS = 100
 GOOD, BAD, NONE = 2, 1, 0
-_MAX_SHAPES = 1 << 19
+#: Words whose shapes a task remembers; beyond it the memory starts anew.
+_MAX_SHAPES = 1 << 18
 
 #: Measures and their bounds: bad above the first, good below the second, no vote between them.
 LABELLERS = (
@@ -63,6 +64,7 @@ class Measure:
 
     def __init__(self):
         self.shapes: dict[str, tuple] = {}
+        self.alike: dict[tuple, tuple] = {}  # words of one shape share an entry
         self.slots: dict[str, int] = {}
 
     def _slot(self, name: str) -> int:
@@ -80,14 +82,15 @@ class Measure:
         if not n:
             return -1, np.array([self._slot("empty")], np.int32), np.ones(1, np.float32)
         if len(self.shapes) > _MAX_SHAPES:
-            self.shapes.clear()
+            self.shapes, self.alike = {}, {}
         known = self.shapes
         try:
             found = [known[w] for w in words]
         except KeyError:
             for w in set(words):
                 if w not in known:
-                    known[w] = word_shape(w)
+                    shape = word_shape(w)
+                    known[w] = self.alike.setdefault(shape, shape)
             found = [known[w] for w in words]
         counts: dict[tuple, int] = {}
         for s in found:
