@@ -34,10 +34,10 @@ from hubmetrics.storage import materialize, scratch_path
 SHARE = 0.0
 MIN_COUNT = 2
 PRIORS = (10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e8)
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1_000_000
 #: Tokens that a task counts before it passes sums on, of words and of pairs.
-FLUSH = 4_000_000
-PAIR_FLUSH = 2_000_000
+FLUSH = 1_000_000
+PAIR_FLUSH = 1_000_000
 #: Tokens looked up at a time when scoring.
 GROUP = 200_000
 #: Bounds of stored log10 values.
@@ -78,9 +78,10 @@ class EliasFano:
         width = np.uint64(low)
         high = (values >> width).astype(np.int64)
         ones = high + np.arange(n)
-        bits = np.zeros(-(-((high[-1] if n else 0) + n + 1) // 64) * 64, np.uint8)
-        bits[ones] = 1
-        words = np.packbits(bits, bitorder="little").view(np.uint64)
+        del high
+        words = np.zeros(-(-((ones[-1] if n else 0) + 2) // 64), np.uint64)
+        np.bitwise_or.at(words, ones >> 6, np.uint64(1) << (ones & 63).astype(np.uint64))
+        del ones
         zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(words).astype(np.int64))])
         packed = np.zeros(-(-n * low // 8) + 16, np.uint8)
         for start in range(0, n, 1 << 16):
@@ -206,6 +207,7 @@ def _shards(rows: DataFrame, keys: list[str], values: list[str], count: int, fol
         held = [b for b in batches if b.num_rows]
         if held:
             columns = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(len(names))]
+            del held
             uri = write_parts(folder, build(*columns))
             first = [pa.array([int(c[0])], pa.int64()) for c in columns[: len(keys)]]
             yield pa.RecordBatch.from_arrays([*first, pa.array([len(columns[0])]), pa.array([uri])], schema=arrow)
