@@ -18,15 +18,15 @@ from hubmetrics.storage import materialize
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], order: Column | None = None) -> DataFrame:
-    """New rows replace old ones with the same key; among new rows the last in ``order`` wins.
+    """New rows replace old ones with the same key; among new rows the last in ``order`` wins, a missing order is the first.
 
     Without an order, or among equals, the largest values win, so the result never depends on how rows are read.
     """
     rank = F.lit(0).cast("bigint") if order is None else order.cast("bigint")
     columns = [*keys, *values]
-    # Old rows have no rank and so lose against any new one.
-    both = old.select(*columns, F.lit(None).cast("bigint").alias("_rank")).unionByName(new.select(*columns, rank.alias("_rank")))
-    return latest_by_key(both, keys, values, F.struct(F.coalesce("_rank", F.lit(-(2**63))), *values))
+    both = old.select(*columns, F.lit(False).alias("_new"), F.lit(None).cast("bigint").alias("_rank")).unionByName(
+        new.select(*columns, F.lit(True).alias("_new"), rank.alias("_rank")))
+    return latest_by_key(both, keys, values, F.struct("_new", F.coalesce("_rank", F.lit(-(2**63))), *values))
 
 
 def upsert_daily(facts: DataFrame, batch: DataFrame, order: Column | None = None) -> DataFrame:

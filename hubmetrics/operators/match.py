@@ -171,10 +171,10 @@ def match_by_score(
     result does not depend on the order of the records.
     """
     resolved = lookup_table(resolve_pairs(records, stations, hints, special), "resolved")
-    return _keep_all(records, resolved, ["ridership_id", "stationname"])
+    return keep_all(records, resolved, ["ridership_id", "stationname"])
 
 
-def _keep_all(records: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
+def keep_all(records: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join in which a missing key equals a missing key; all conditions stay equalities of columns."""
     theirs = resolved.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in resolved.columns if c not in keys])
     same = F.lit(True)

@@ -23,12 +23,13 @@ def facts_by_city(stations: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def anchored_stations(stations: DataFrame, facts: DataFrame, scope: str = "city") -> DataFrame:
+def anchored_stations(stations: DataFrame, facts: DataFrame, scope: str = "city", life: DataFrame | None = None) -> DataFrame:
     """Stations with their whole-life aggregates and ``anchor``, the last date of their city (or of all cities).
 
     The aggregates are written once, one row per station: everything after this reads that small table and not the facts.
+    A caller that keeps them hands them in as ``life``.
     """
-    life = facts.groupBy("station_id").agg(
+    life = life if life is not None else facts.groupBy("station_id").agg(
         F.count("entries").alias("ridership_rows"),
         F.max("entries").alias("max_entries"),
         F.max_by("entries", "service_date").alias("last_day_entries"),
@@ -42,16 +43,17 @@ def anchored_stations(stations: DataFrame, facts: DataFrame, scope: str = "city"
 
 
 def station_metrics(
-    stations: DataFrame, facts: DataFrame, scope: str = "city", as_of: datetime.date | None = None
+    stations: DataFrame, facts: DataFrame, scope: str = "city", as_of: datetime.date | None = None, life: DataFrame | None = None,
 ) -> DataFrame:
     """Per station: rows, averages over the last 30 and 90 days (bounds included), maximum, last day, data status.
 
     ``facts`` holds one row per station and day. The full history is read once, reduced before the shuffle. The averages
-    come from a second read that a date filter cuts to the last 90 days.
+    come from a second read that a date filter cuts to the last 90 days. With ``life``, one row per station that has
+    facts, the history is not read at all, and ``facts`` may begin 90 days before each city's last date.
     """
     if as_of is not None:
         facts = facts.where(F.col("service_date") <= F.lit(as_of))
-    anchored = anchored_stations(stations, facts, scope)
+    anchored = anchored_stations(stations, facts, scope, life)
     oldest = anchored.agg(F.min(F.date_sub("anchor", rules.LONG_WINDOW_DAYS))).scalar()
     recent = (
         facts.where(F.col("service_date") >= oldest)

@@ -25,6 +25,14 @@ METRICS = _struct(
     max_entries=LONG, last_day_entries=LONG, service_date_max=T.DateType(), data_status=TEXT, score=T.IntegerType(),
 )
 RIDERSHIP_RECORD = _struct(station_id=TEXT, stationname=TEXT, date=TEXT, rides=TEXT)
+RECORD = _struct(ridership_id=TEXT, stationname=TEXT, service_date=T.DateType(), entries=LONG)
+REPORT = _struct(
+    batch=LONG, fetched=LONG, inserted=LONG, skipped=LONG, ids=LONG, matched_ids=LONG, matched_stations=LONG, removed=LONG,
+    cities=LONG, match_rate=DOUBLE, true_match_rate=DOUBLE,
+)
+MONTH_STATE = _struct(
+    rows=LONG, n=LONG, total=LONG, max_entries=LONG, first=T.DateType(), last=T.DateType(), last_entries=LONG, days=LONG,
+)
 SEGMENT = _struct(segment_id=TEXT, corridor=TEXT, is_loop=T.BooleanType(), lines=LINES, p1=POINT, p2=POINT)
 FEATURE = T.StructType([
     T.StructField("type", TEXT),

@@ -5,20 +5,19 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from hubmetrics import rules, schemas
 from hubmetrics.operators.maintain import city_cutoffs, upsert_daily
-from hubmetrics.operators.match import match_by_score
-from hubmetrics.operators.metrics import station_metrics
-from hubmetrics.operators.score import low_use_score
+from hubmetrics.operators.match import keep_all, match_by_alias_or_name, resolve_pairs
+from hubmetrics.sources.folders import batch_rows, compact, exists, read_if_there
 from hubmetrics.sources.ridership import parse_json_rows
-from hubmetrics.sources.tables import with_month, write_metrics, write_months
+from hubmetrics.sources.tables import with_month, write_months
 from hubmetrics.storage import lookup_table, materialize
+from hubmetrics.streaming.store import CityStore
 
 FIRST_LOAD_DAYS = 7
 
@@ -29,6 +28,38 @@ def high_water_mark(facts: DataFrame, today: datetime.date, since: datetime.date
     return facts.agg(F.coalesce(last, F.date_sub(F.lit(today), FIRST_LOAD_DAYS)).alias("mark"))
 
 
+def city_marks(
+    stations: DataFrame, metrics: DataFrame, today: datetime.date, since: datetime.date | None = None
+) -> DataFrame:
+    """``city_code, mark``: for each city of the stations the given date, else its own last stored date, else a week ago.
+
+    The dates come from the stored metrics, one row per station; no fact is read.
+    """
+    last = metrics.groupBy(F.col("city_code").cast("string").alias("city_code")).agg(F.max("service_date_max").alias("_last"))
+    known = F.col("_last") if since is None else F.lit(since)
+    return stations.select(F.col("city_code").cast("string").alias("city_code")).distinct().join(last, "city_code", "left").select(
+        "city_code", F.coalesce(known, F.date_sub(F.lit(today), FIRST_LOAD_DAYS)).alias("mark"))
+
+
+def newer_than_marks(records: DataFrame, marks: DataFrame, today: datetime.date) -> DataFrame:
+    """Landed records after their city's mark, the mark itself excluded, from a table with folders by city and month.
+
+    Each mark becomes one row per month from its own to today's. Records of these months join on both folder columns, which
+    lets Spark skip the other folders at run time; later months are taken by name. Records of unknown cities are left out.
+    """
+    marks = materialize(marks, "marks")
+    start = F.trunc("mark", "month")
+    months = F.transform(
+        F.sequence(start, F.greatest(F.trunc(F.lit(today), "month"), start), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+    this_month = f"{today:%Y-%m}"
+    # A row per city and month since its mark; written, so that its true size decides on the broadcast.
+    wanted = materialize(marks.select("city_code", "mark", F.explode(months).alias("month")).where(F.col("month") <= this_month), "wanted")
+    now = records.join(wanted, ["city_code", "month"])
+    later = records.where(F.col("month") > this_month).join(marks, "city_code")
+    after = F.col("service_date") > F.col("mark")
+    return now.where(after).select(records.columns).unionByName(later.where(after).select(records.columns))
+
+
 def newer_than(records: DataFrame, mark: DataFrame) -> DataFrame:
     """Records after the mark, the mark itself excluded."""
     return records.where(F.col("service_date") > mark.scalar())
@@ -53,9 +84,7 @@ class DailyFacts:
     def read(self, like: DataFrame) -> DataFrame:
         """The facts, typed like ``like``; empty before the first load."""
         schema = with_month(like.select("station_id", "service_date", "entries")).schema
-        if _read_if_there(self.spark, self.path) is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return read_if_there(self.spark, self.path, schema)
 
     def merge(self, batch: DataFrame, order) -> None:
         """Upsert a batch: only the months it touches are read and written again; running it twice changes nothing."""
@@ -102,56 +131,95 @@ def batch_cutoffs(stations: DataFrame, batch: DataFrame, metrics: DataFrame | No
     return materialize(city_cutoffs(stations, known, days).select("station_id", "cutoff"), "cutoffs")
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+#: Batch folders that ``late``, ``unmatched``, ``learned`` and ``reports`` may have before they are merged.
+MOST_FOLDERS = 8
 
 
-def match_with_learned(matched: DataFrame, tables: str, batch_id: int) -> DataFrame:
-    """Matched records, those without a station resolved by the ids that earlier batches learned.
+def resolve_with_learned(
+    pairs: DataFrame, learned: DataFrame, batch_id: int
+) -> tuple[DataFrame, DataFrame]:
+    """Resolved (ridership id, name) pairs, those without a station by the ids that earlier batches learned; and new ids.
 
-    What this batch teaches is stored with it: the smallest station of each id that is not blank. Batches with the same
-    or a higher number are not looked at, so that loading a batch again gives the same rows.
+    What a batch teaches is the smallest station of each id that is not blank. Batches with the same or a higher number are
+    not looked at, so that loading a batch again gives the same rows.
     """
-    spark = matched.sparkSession
-    taught = matched.where("station_id IS NOT NULL AND trim(ridership_id) <> ''").groupBy("ridership_id").agg(
+    taught = pairs.where("station_id IS NOT NULL AND trim(ridership_id) <> ''").groupBy("ridership_id").agg(
         F.min("station_id").alias("station_id"))
-    taught.write.mode("overwrite").parquet(f"{tables}/learned/batch={batch_id}")
-    schema = taught.withColumn("batch", F.lit(batch_id).cast("bigint")).schema
-    stored = spark.read.schema(schema).parquet(f"{tables}/learned")
-    earlier = stored.where(F.col("batch") < batch_id).groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("_learned"))
-    known = matched.join(lookup_table(earlier, "earlier"), "ridership_id", "left")
-    return known.withColumn("station_id", F.coalesce("station_id", "_learned")).select(*matched.columns)
+    earlier = learned.where(F.col("batch") < batch_id).groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("_learned"))
+    known = pairs.join(lookup_table(earlier, "earlier"), "ridership_id", "left")
+    return known.withColumn("station_id", F.coalesce("station_id", "_learned")).select(*pairs.columns), taught
 
 
 def load_batch(
     records: DataFrame, batch_id: int, stations: DataFrame, tables: str, hints: Mapping[str, str] = rules.LINE_HINTS,
-    special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, days: int = rules.RETENTION_DAYS,
-) -> None:
+    special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES, days: int = rules.RETENTION_DAYS, aliases: DataFrame | None = None,
+) -> dict:
     """Load one batch of typed records (ridership_id, stationname, service_date, entries) into the tables folder.
 
-    Rows older than the retention go to ``late``, unmatched ones to ``unmatched``, the rest to ``facts``, from which rows
-    past the retention are removed; then the metrics are made anew. Ids learned by name serve later batches. Loading the
-    same batch again gives the same tables. When one (station, day) comes twice in a batch, the larger count wins.
+    Names resolve by score, with ``aliases`` by alias or equal name first. Rows older than their city's retention go to ``late``,
+    unmatched ones to ``unmatched``, the rest to ``facts``; rows past the retention leave the facts, and the touched cities get
+    new metrics. Ids learned by name serve later batches, and unmatched rows of earlier batches whose id is known now become facts,
+    where no newer fact stands. Loading the same batch again gives the same tables. When one (station, day) comes twice in a
+    batch, the larger count wins.
+
+    The summary of the load is returned and stored in ``reports``. Its counts are gathered while the records are written, and ids
+    are counted over the distinct pairs, so the records are not read for it.
     """
     spark = records.sparkSession
-    named = materialize(match_by_score(records, stations, hints, special), "named")
-    matched = materialize(match_with_learned(named, tables, batch_id), "matched")
-    found = matched.where(F.col("station_id").isNotNull()).select("station_id", "service_date", "entries")
-    facts = DailyFacts(spark, f"{tables}/facts")
-    cutoffs = batch_cutoffs(stations, found, _read_if_there(spark, f"{tables}/metrics"), days)
-    timely, late = split_late(found, cutoffs)
-    late.write.mode("overwrite").parquet(f"{tables}/late/batch={batch_id}")
-    unmatched = matched.where(F.col("station_id").isNull()).drop("station_id")
+    id_type = stations.schema["station_id"].dataType
+    learned_schema = StructType([schemas.RECORD["ridership_id"], StructField("station_id", id_type)])
+    late_schema = StructType([learned_schema["station_id"], schemas.RECORD["service_date"], schemas.RECORD["entries"]])
+    for name, schema in (("learned", learned_schema), ("late", late_schema), ("unmatched", schemas.RECORD)):
+        compact(spark, f"{tables}/{name}", schema, batch_id, MOST_FOLDERS)
+    pairs = resolve_pairs(records, stations, hints, special)
+    if aliases is not None:
+        by_alias = match_by_alias_or_name(pairs.select("stationname").distinct(), aliases, stations).withColumnRenamed("station_id", "_alias")
+        pairs = pairs.join(lookup_table(by_alias, "aliases"), "stationname", "left").select(
+            "ridership_id", "stationname", F.coalesce("_alias", "station_id").alias("station_id"))
+    learned = batch_rows(spark, f"{tables}/learned", learned_schema)
+    known, taught = resolve_with_learned(materialize(pairs, "pairs"), learned, batch_id)
+    known = lookup_table(known, "resolved")
+    taught = materialize(taught, "taught")
+    taught.write.mode("overwrite").parquet(f"{tables}/learned/batch={batch_id}")
+
+    counts = Observation()
+    hit = F.col("station_id").isNotNull()
+    matched = materialize(
+        keep_all(records, known, ["ridership_id", "stationname"]).observe(
+            counts, F.count(F.lit(1)).alias("fetched"), F.count_if(hit).alias("inserted"), F.count_if(~hit).alias("skipped")), "matched")
+    unmatched = matched.where(~hit).select(*schemas.RECORD.names)
     unmatched.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch_id}")
-    facts.merge(timely, F.col("entries"))
-    facts.prune(found, cutoffs)
-    kept = retained(facts.read(found), cutoffs)
-    write_metrics(low_use_score(station_metrics(stations, kept)), f"{tables}/metrics")
+    waiting = batch_rows(spark, f"{tables}/unmatched", schemas.RECORD).where(F.col("batch") < batch_id)
+    ids = learned.where(F.col("batch") < batch_id).select("ridership_id", "station_id", "batch").unionByName(
+        taught.withColumn("batch", F.lit(batch_id).cast("bigint")))
+    ids = lookup_table(ids.groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("station_id")), "ids")
+    replayed = materialize(waiting.join(ids, "ridership_id"), "replayed")
+    back = replayed.groupBy("station_id", "service_date").agg(F.max_by("entries", F.struct("batch", "entries")).alias("entries"))
+
+    store = CityStore(spark, tables, stations, days)
+    first = not exists(spark, f"{tables}/metrics")
+    loaded = store.load(matched.where(hit), F.col("entries"), back)
+    loaded["late"].write.mode("overwrite").parquet(f"{tables}/late/batch={batch_id}")
+    if first:
+        store.refresh([r.city_code for r in stations.select(F.col("city_code").cast("string").alias("city_code")).distinct().collect()])
+    took = replayed.select("batch").distinct().collect()  # as many as there are folders
+    for batch in sorted(r.batch for r in took):
+        left = materialize(waiting.where(F.col("batch") == batch).join(ids.select("ridership_id"), "ridership_id", "left_anti").select(*schemas.RECORD.names), "left")
+        left.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch}")
+
+    row = known.agg(
+        F.count_distinct("ridership_id").alias("ids"), F.count_distinct(F.when(hit, F.col("ridership_id"))).alias("matched_ids"),
+        F.count_distinct("station_id").alias("matched_stations")).first()
+    report = {"batch": batch_id, **counts.get, **row.asDict(), "removed": loaded["removed"], "cities": len(loaded["cities"])}
+    report["match_rate"] = 100 * row.matched_stations / row.matched_ids if row.matched_ids else None
+    report["true_match_rate"] = 100 * row.matched_ids / row.ids if row.ids else None
+    spark.createDataFrame([tuple(report[n] for n in schemas.REPORT.names)], schemas.REPORT).coalesce(1).write.mode("overwrite").json(f"{tables}/reports/load={batch_id}")
+    return report
+
+
+def read_reports(spark: SparkSession, tables: str) -> DataFrame:
+    """The stored summaries, one row per batch."""
+    return spark.read.schema(schemas.REPORT).json(f"{tables}/reports")
 
 
 def retained(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
