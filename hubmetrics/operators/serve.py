@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hubmetrics import rules
+from hubmetrics import rules, schemas
 from hubmetrics.functions.parse import round_half_up
 from hubmetrics.operators.score import comparison_text, percent_less, percentiles, serving_status
 from hubmetrics.operators.metrics import system_average
@@ -118,3 +119,12 @@ def last_days(facts: DataFrame, as_of: DataFrame, days: int = rules.LONG_WINDOW_
 def first_per_date(series: DataFrame, order: Column) -> DataFrame:
     """One row per station and date, the first in the given order."""
     return series.groupBy("station_id", "service_date").agg(F.min_by("entries", order).alias("entries"))
+
+
+def stored_station(spark: SparkSession, path: str, city_code: str, station_id) -> DataFrame:
+    """The stored metrics of one station: one city's folder, cut down by the id in the scan. Nothing is computed or shuffled.
+
+    ``path`` is a folder that ``write_metrics`` wrote. An unknown city or id gives no row.
+    """
+    stored = spark.read.schema(schemas.metrics(T.StringType() if isinstance(station_id, str) else T.LongType())).parquet(path)
+    return stored.where((F.col("city_code") == city_code) & (F.col("station_id") == station_id))

@@ -43,3 +43,8 @@ FEATURE = T.StructType([
     ])),
 ])
 FEATURE_COLLECTION = T.StructType([T.StructField("type", TEXT), T.StructField("features", T.ArrayType(FEATURE))])
+
+
+def metrics(id_type: T.DataType) -> T.StructType:
+    """Stored metrics of stations with ids of this type."""
+    return T.StructType([T.StructField("station_id", id_type), *METRICS.fields[1:]])

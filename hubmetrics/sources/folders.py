@@ -6,19 +6,13 @@ import re
 from collections.abc import Iterable
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_if_there(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A parquet table with this schema; without rows if the folder does not exist yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _store(spark: SparkSession, path: str):

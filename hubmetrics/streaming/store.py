@@ -123,9 +123,8 @@ class CityStore:
 
     def merge(self, timely: DataFrame, folders: list[tuple[str, str]]) -> None:
         """Upsert rows with a rank into the folders that they touch; rows without one count as older than stored facts."""
-        columns = ["station_id", "service_date", "entries"]
-        old = upsert_daily(timely.where("_rank IS NULL").select(columns), self.facts(folders).select(columns))
-        merged = upsert_daily(old, timely.where("_rank IS NOT NULL"), F.col("_rank"))
+        merged = upsert_daily(timely.where("_rank IS NULL"), self.facts(folders))
+        merged = upsert_daily(merged, timely.where("_rank IS NOT NULL"), F.col("_rank"))
         self._replace(self.placed(merged))
 
     def _replace(self, rows: DataFrame) -> DataFrame:
