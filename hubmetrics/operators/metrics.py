@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
+from hubmetrics.plans.ordered import with_day_ranges
 from hubmetrics.storage import materialize
 
 
@@ -124,3 +125,11 @@ def rows_in_window(stations: DataFrame, facts: DataFrame, start) -> DataFrame:
     return stations.join(n, "station_id", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")).withColumnRenamed(
         "n", "ridership_rows"
     )
+
+
+def moving_averages(facts: DataFrame) -> DataFrame:
+    """``station_id, service_date, entries, avg_30d, avg_90d``: the mean of the days up to each day with data, that day included."""
+    ranged = with_day_ranges(
+        facts, ["station_id"], "service_date", "entries",
+        {"avg_30d": rules.SHORT_WINDOW_DAYS, "avg_90d": rules.LONG_WINDOW_DAYS})
+    return ranged.select("station_id", "service_date", F.col("_sum").alias("entries"), "avg_30d", "avg_90d")

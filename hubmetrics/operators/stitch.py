@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
-from hubmetrics.functions.geo import offset_px, vertex_key
+from hubmetrics.functions.geo import offset_px
 from hubmetrics.functions.lines import canonical_order, string_array
+from hubmetrics.plans.connected import follow, hooks
+from hubmetrics.plans.near import group_text, near_names
 from hubmetrics.plans.ordered import with_position
 from hubmetrics.storage import lookup_table, materialize
 
@@ -48,18 +50,29 @@ def lost_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     return features_per_line(before).join(after.select("line").distinct(), "line", "left_anti")
 
 
+def line_losses(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``line, n_before, n_after, lost``: features of each line before and after a step, and whether it has none left."""
+    counts = features_per_line(before).withColumnRenamed("n_features", "n_before").join(
+        features_per_line(after).withColumnRenamed("n_features", "n_after"), "line", "full_outer")
+    n = {c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_before", "n_after")}
+    return counts.select("line", *n.values(), (F.col("n_before").isNotNull() & F.col("n_after").isNull()).alias("lost"))
+
+
 def _pieces(exploded: DataFrame) -> DataFrame:
     """Segments with a name of their own, unique over all lines. A segment id occurs once per line."""
     return exploded.withColumn("piece", F.concat_ws("\u001f", "segment_id", "line"))
 
 
 def segment_ends(pieces: DataFrame) -> DataFrame:
-    """Two rows per piece: side 0 where it starts, side 1 where it ends."""
+    """Two rows per piece: side 0 where it starts, side 1 where it ends, with the ``vertex`` that near ends of a group share."""
     sides = F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), vertex_key(F.col("p1")).alias("vertex")),
-        F.struct(F.lit(1).alias("side"), vertex_key(F.col("p2")).alias("vertex")),
+        F.struct(F.lit(0).alias("side"), F.col("p1.lon").alias("lon"), F.col("p1.lat").alias("lat")),
+        F.struct(F.lit(1).alias("side"), F.col("p2.lon").alias("lon"), F.col("p2.lat").alias("lat")),
     ))
-    return pieces.select(*GROUP, "piece", sides)
+    ends = pieces.select(*GROUP, "piece", sides)
+    vertices = near_names(ends, GROUP, rules.VERTEX_TOLERANCE, "vertex")
+    return ends.withColumn("group", group_text(GROUP)).join(
+        lookup_table(vertices, "vertices"), ["group", "lon", "lat"]).select(*GROUP, "piece", "side", "vertex")
 
 
 def end_links(pieces: DataFrame) -> DataFrame:
@@ -230,48 +243,10 @@ def adjacent_pairs(exploded: DataFrame) -> DataFrame:
 
 
 def components(exploded: DataFrame) -> DataFrame:
-    """Each piece with ``component``, the least piece it is connected to within its group.
-
-    Each round hooks every label onto the least label next to it and then halves the way to the root, so long chains
-    shrink fast. Minimum and join work on one row per label on at least one side.
-    """
+    """Each piece with ``component``, the least piece it is connected to within its group."""
     pieces = materialize(_pieces(exploded).select(*GROUP, "piece"), "pieces")
     edges = adjacent_pairs(exploded).select(F.col("piece1").alias("u"), F.col("piece2").alias("v"))
-    edges = materialize(edges.where(F.col("u") != F.col("v")).distinct(), "edges")
-    hops = []
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root"))
-        parent = _flatten(materialize(parent, "parents"))
-        hops.append(parent)
-        named = (
-            edges.join(parent.select("u", F.col("root").alias("ru")), "u")
-            .join(parent.select(F.col("u").alias("v"), F.col("root").alias("rv")), "v")
-        )
-        edges = materialize(
-            named.where(F.col("ru") != F.col("rv"))
-            .select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(),
-            "edges",
-        )
-    labels = pieces.withColumn("component", F.col("piece"))
-    for parent in hops:
-        labels = labels.join(parent.select(F.col("u").alias("component"), "root"), "component", "left").withColumn(
-            "component", F.coalesce("root", "component")
-        ).drop("root")
-    return labels
-
-
-def _flatten(parent: DataFrame) -> DataFrame:
-    """Follow parents to their roots; the distance to the root halves in every round."""
-    while True:
-        up = parent.select(F.col("u").alias("root"), F.col("root").alias("_up"))
-        jumped = materialize(
-            parent.join(up, "root").select("u", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("moved")),
-            "parents",
-        )
-        if jumped.where("moved").isEmpty():
-            return jumped.select("u", "root")
-        parent = jumped.select("u", "root")
+    return follow(pieces.withColumn("component", F.col("piece")), "component", hooks(edges))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -114,3 +114,35 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str], ord
         return df.groupBy(*keys).agg(F.max_by(values[0], order).alias(values[0]))
     packed = df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v"))
     return packed.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
+
+
+def with_day_ranges(df: DataFrame, keys: Sequence[str], day: str, value: str, ranges: dict[str, int]) -> DataFrame:
+    """Per key and day the sum and number of values, and for each name of ``ranges`` the mean over so many days up to the day.
+
+    Days without a row are not made up; both ends of a range count; NULL values are in no mean. The rows are reduced to one per
+    key and day first. A range that reaches back over the border of a slice finds the rows it needs in a copy of the last days
+    before that slice, at most one row a day and border, so that a key with most of the rows spreads over all slices.
+    """
+    keys = list(keys)
+    daily = df.where(F.col(day).isNotNull()).groupBy(*keys, day).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    sliced = slice_groups(daily, keys, [F.col(day)])
+    longest = max(ranges.values())
+    spans = sliced.groupBy(*keys, _SLICE).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    # One row per group and slice; pairs of slices meet only where a range reaches from one into the other.
+    spans = materialize(spans, "spans")
+    earlier = spans.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.col(_SLICE).alias("_from"), F.col("_last").alias("_until"))
+    same = F.col("_from") < F.col(_SLICE)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    since = F.date_sub("_first", longest)
+    reach = spans.join(earlier, same).where(F.col("_until") >= since).select(
+        *keys, F.col(_SLICE).alias("_to"), F.col("_from").alias(_SLICE), since.alias("_since"))
+    carried = _keep_left(sliced, reach, [*keys, _SLICE], ["_to", "_since"], "inner").where(F.col(day) >= F.col("_since"))
+    own = sliced.withColumn("_own", F.lit(True))
+    both = own.unionByName(carried.select(*[c for c in sliced.columns if c != _SLICE], F.col("_to").alias(_SLICE), F.lit(False).alias("_own")))
+    back = Window.partitionBy(*keys, _SLICE).orderBy(F.unix_date(day))
+    means = {
+        name: F.try_divide(F.sum("_sum").over(w), F.sum("_n").over(w))
+        for name, w in ((name, back.rangeBetween(-days, 0)) for name, days in ranges.items())
+    }
+    return both.withColumns(means).where("_own").drop("_own", _SLICE)

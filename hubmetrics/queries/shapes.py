@@ -274,6 +274,48 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     return labels.select(F.translate("piece", "\u001f", "/").alias("piece"), F.translate("component", "\u001f", "/").alias("component"))
 
 
+@query(_RECURSIVE + """SELECT p.kind AS line, count(*) AS n_before, count(DISTINCT o.path_id) AS n_after, false AS lost
+    FROM pieces p JOIN ordered o ON o.piece = p.piece GROUP BY 1""")
+def line_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of each line before and after they are really stitched."""
+    exploded = _user_segments(spark, sf)
+    return C.line_losses(exploded, C.stitch(exploded))
+
+
+# Both ends of every segment are moved to one or the other side of a border of rounding, by less than the tolerance.
+_NEAR = with_ctes("points pairs", """, ends AS (
+      SELECT 's' || seq || '/' || kind AS piece, shape_id, kind, a_lon + CAST(5e-7 AS DOUBLE) + CAST(4e-7 AS DOUBLE) * (seq % 3 - 1) AS lon,
+        a_lat + CAST(3e-7 AS DOUBLE) * (seq % 2) AS lat FROM pairs
+      UNION ALL SELECT 's' || seq || '/' || kind, shape_id, kind, b_lon + CAST(5e-7 AS DOUBLE) - CAST(4e-7 AS DOUBLE) * (seq % 3 - 1), b_lat FROM pairs),
+    near AS (SELECT DISTINCT a.piece, b.piece AS other FROM ends a JOIN ends b ON a.shape_id = b.shape_id AND a.kind = b.kind
+      AND abs(a.lon - b.lon) < 1e-6 AND abs(a.lat - b.lat) < 1e-6),
+    reach AS (SELECT piece, piece AS other FROM ends UNION SELECT r.piece, n.other FROM reach r JOIN near n ON n.piece = r.other),
+    labels AS (SELECT piece, min(other) AS component FROM reach GROUP BY 1)
+    """).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _moved_segments(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.substring("segment_id", 2, 20).cast("bigint")
+    aside = F.lit(4e-7) * (seq % 3 - 1)
+    return _user_segments(spark, sf).withColumns({
+        "p1": G.point(F.col("p1.lon") + F.lit(5e-7) + aside, F.col("p1.lat") + F.lit(3e-7) * (seq % 2)),
+        "p2": G.point(F.col("p2.lon") + F.lit(5e-7) - aside, F.col("p2.lat")),
+    })
+
+
+@query(_NEAR + "SELECT * FROM labels")
+def components_of_near_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of segments whose ends meet within the tolerance only."""
+    labels = C.components(_moved_segments(spark, sf))
+    return labels.select(F.translate("piece", "\u001f", "/").alias("piece"), F.translate("component", "\u001f", "/").alias("component"))
+
+
+@query(_NEAR + "SELECT component, count(*) AS n_segments FROM labels GROUP BY 1")
+def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = C.component_sizes(C.components(_moved_segments(spark, sf)))
+    return sizes.select(F.translate("component", "\u001f", "/").alias("component"), "n_segments")
+
+
 _SIMPLIFY = with_ctes("points", """, pts AS (SELECT shape_id, seq, lon, lat, row_number() OVER (PARTITION BY shape_id ORDER BY seq) AS rn FROM points),
     spans AS (SELECT shape_id, CAST(1 AS BIGINT) AS a, count(*) AS b FROM pts GROUP BY 1 HAVING count(*) > 1
       UNION ALL

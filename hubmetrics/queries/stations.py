@@ -333,3 +333,13 @@ def days_with_data(spark: SparkSession, sf: str) -> DataFrame:
 def totals_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     totals = Q.station_totals(customer_stations(spark, sf), customer_facts(spark, sf))
     return totals.withColumn("latest_date", day_text(F.col("latest_date")))
+
+
+@query(with_ctes("facts", """SELECT station_id, CAST(service_date AS VARCHAR) AS service_date, entries,
+      avg(entries) OVER (w RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS avg_30d,
+      avg(entries) OVER (w RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS avg_90d
+    FROM facts WHERE station_id % 4 <> 0 OR month(service_date) <> 6 WINDOW w AS (PARTITION BY station_id ORDER BY service_date)"""))
+def moving_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Averages of the last 30 and 90 days for every day, a month being empty for every fourth station."""
+    facts = supplier_facts(spark, sf).where((F.col("station_id") % 4 != 0) | (F.month("service_date") != 6))
+    return M.moving_averages(facts).withColumn("service_date", day_text(F.col("service_date")))

@@ -221,6 +221,8 @@ PLAUSIBLE_BOX = (-88.0, -87.0, 41.0, 43.0)
 # that is reported as long, offsets between parallel lines in pixels.
 EARTH_RADIUS_M = 6371000.0
 SIMPLIFY_TOLERANCE = 0.00003
+# Fixed value: ends of segments that are closer than this in both coordinates, in degrees, are one vertex.
+VERTEX_TOLERANCE = 0.000001
 LONG_SEGMENT_M = 1000.0
 OFFSET_STEP = 3.5
 LOOP_OFFSET_STEP = 2.0
