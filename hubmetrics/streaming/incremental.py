@@ -53,7 +53,8 @@ def newer_than_marks(records: DataFrame, marks: DataFrame, today: datetime.date)
         F.sequence(start, F.greatest(F.trunc(F.lit(today), "month"), start), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
     this_month = f"{today:%Y-%m}"
     # A row per city and month since its mark; written, so that its true size decides on the broadcast.
-    wanted = materialize(marks.select("city_code", "mark", F.explode(months).alias("month")).where(F.col("month") <= this_month), "wanted")
+    # The comparison stands on the written rows, for Spark prunes at run time by sides that a filter cuts down.
+    wanted = materialize(marks.select("city_code", "mark", F.explode(months).alias("month")), "wanted").where(F.col("month") <= this_month)
     now = records.join(wanted, ["city_code", "month"])
     later = records.where(F.col("month") > this_month).join(marks, "city_code")
     after = F.col("service_date") > F.col("mark")
