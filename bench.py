@@ -16,6 +16,7 @@ from hubmetrics.session import build_session  # noqa: E402
 HEADLINE = [
     "station_metrics", "low_use_score", "scored_match", "shared_segments", "upsert_daily", "alias_match", "prune_window",
     "station_list_score_desc", "system_comparison", "normalize_names", "lines_normalized", "simplify", "match_summary",
+    "moving_averages", "components", "stitch",
 ]
 
 
