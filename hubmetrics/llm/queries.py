@@ -76,7 +76,20 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_held_out(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(sql="""
+    WITH page AS (
+        SELECT page_id, coalesce(html, '') AS p, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages),
+    named AS (
+        SELECT *, array_to_string([
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT)
+                + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT), 1)
+            FOR i IN range(32)], '') AS digest,
+            min(page_id) OVER (PARTITION BY p) AS least
+        FROM page)
+    SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM named""")
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back by its place in the index."""
     pages = table(spark, sf_dir, "pages")

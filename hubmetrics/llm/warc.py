@@ -6,7 +6,7 @@ task large. Each task writes archives of bounded size, every record a gzip membe
 where it stands: archive, offset, length, URL, digest. An archive's name is new for each attempt, and only the written index
 tells which archives count, so a lost executor leaves at most a file that nothing refers to.
 
-Reading takes any selection of index rows, sorts it by place, joins neighbouring ranges to one read each and parses the
+Reading takes any selection of index rows, deals it by place to tasks of bounded size, joins neighbouring ranges to one read each and parses the
 records. Archives are written and read through Arrow's file systems, which open local and cluster stores by URI.
 """
 
@@ -16,18 +16,20 @@ import base64
 import hashlib
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hubmetrics.llm.common import emit_rows, map_rows
-from hubmetrics.llm.ngram_join import grouped_rows
 from hubmetrics.storage import materialize, scratch_path
 
 #: An archive is closed beyond so many bytes; ranges closer than ``GAP`` are read at once, up to ``READ`` bytes.
 ARCHIVE_BYTES = 64 << 20
 GAP, READ = 64 << 10, 4 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 32 << 20
 LEVEL = 1
 
 
@@ -42,16 +44,24 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
 
+def told(value: str | None) -> str | None:
+    """An id as ``record`` wrote it: escaped, so that any text is one line; without a line it is NULL."""
+    return None if value is None else unquote(value)
+
+
 def record(kind: str, page: str | None, url: str | None, payload: bytes, size: int, sha: str, refers: str | None) -> bytes:
     """One record as a gzip member. A revisit has no payload of its own but names digest and size of the full one."""
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{sha}", f"X-Page-Id: {'' if page is None else page}", f"X-Payload-Length: {size}",
+        f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {size}",
     ]
+    if page is not None:
+        lines.append(f"X-Page-Id: {quote(page)}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                  f"X-Refers-To: {'' if refers is None else refers}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        if refers is not None:
+            lines.append(f"X-Refers-To: {quote(refers)}")
     lines += ["Content-Type: application/octet-stream", f"Content-Length: {len(payload)}"]
     whole = "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -164,39 +174,48 @@ def ranges(offsets: list[int], lengths: list[int]) -> list[tuple[int, int, list[
     return out
 
 
+def _read_tasks(index: DataFrame) -> int:
+    """Tasks that read an index: one for every ``TASK_BYTES`` of records, and no fewer than archives or, at most, records."""
+    spark = index.sparkSession
+    got = index.agg(
+        F.count(F.lit(1)).alias("records"), F.sum("length").alias("bytes"), F.approx_count_distinct("archive").alias("archives")).first()
+    wanted = max(-(-(got["bytes"] or 0) // TASK_BYTES), 2 * got["archives"], spark.sparkContext.defaultParallelism)
+    return max(1, min(got["records"], wanted))
+
+
 def read_warc(index: DataFrame) -> DataFrame:
     """The records that index rows point to: ``page_id, row, kind, url, payload, payload_digest, payload_bytes, refers_to``.
 
-    ``payload`` is NULL for revisits. Digest and size are checked against the payload that is read. An archive is closed
-    at a bounded size, so the rows of one archive are a bounded group.
+    ``payload`` is NULL for revisits. Digest and size are checked against the payload that is read. Rows are dealt by place,
+    in a number of tasks that follows the archives' bytes and not the index's, so one archive may be read by several tasks. A task holds one range of ``READ`` bytes, or one longer
+    record, at a time. An index row that is repeated is read as often; an empty index gives no rows.
     """
-    spread = index.withColumn("_a", F.xxhash64("archive"))
+    dealt = index.repartitionByRange(_read_tasks(index), "archive", "offset").sortWithinPartitions("archive", "offset")
     out = [T.StructField(n, t) for n, t in (
         ("page_id", T.StringType()), ("row", T.LongType()), ("kind", T.StringType()), ("url", T.StringType()),
         ("payload", T.BinaryType()), ("payload_digest", T.StringType()), ("payload_bytes", T.LongType()), ("refers_to", T.StringType()))]
 
     def make():
-        def run(archives, rows, offsets, lengths):
-            got = {f.name: [] for f in out}
-            for name in sorted(set(archives)):
+        def one(name, row, at, member):
+            head, content = parse(member)
+            kind, sha, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+            if kind == "response" and (len(content) != size or digest(content) != sha):
+                raise ValueError(f"damaged record in {name} at {at}")
+            return (told(head.get("X-Page-Id")), row, kind, head["WARC-Target-URI"],
+                    content if kind == "response" else None, sha, size, told(head.get("X-Refers-To")))
+
+        def run(archives=None, rows=None, offsets=None, lengths=None):
+            for name in sorted(set(archives or [])):
                 mine = [k for k, a in enumerate(archives) if a == name]
                 store, path = open_store(name)
                 with store.open_input_file(path) as file:
                     for start, end, members in ranges([offsets[k] for k in mine], [lengths[k] for k in mine]):
                         file.seek(start)
                         block = file.read(end - start)
-                        for m in members:
-                            k = mine[m]
-                            head, content = parse(block[offsets[k] - start: offsets[k] - start + lengths[k]])
-                            kind, sha, size = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
-                            if kind == "response" and (len(content) != size or digest(content) != sha):
-                                raise ValueError(f"damaged record in {name} at {offsets[k]}")
-                            values = (head["X-Page-Id"] or None, rows[k], kind, head["WARC-Target-URI"],
-                                      content if kind == "response" else None, sha, size, head.get("X-Refers-To") or None)
-                            for f, v in zip(out, values):
-                                got[f.name].append(v)
-            return got
+                        found = [one(name, rows[k], offsets[k], block[offsets[k] - start: offsets[k] - start + lengths[k]])
+                                 for k in (mine[m] for m in members)]
+                        yield {f.name: list(column) for f, column in zip(out, zip(*found))}
 
         return run
 
-    return grouped_rows(spread, ["_a"], ["archive", "row", "offset", "length"], out, make)
+    return emit_rows(dealt, ["archive", "row", "offset", "length"], out, make)
