@@ -1,11 +1,15 @@
 """From raw documents to packed sequences: reject junk, reject toxic texts, merge near copies, decontaminate, pack.
 
 Each stage works on all that its predecessor kept and decides with one operator; all but the last return the columns of
-documents. Rows are found again by their number in the stage's input table, so repeated and NULL ids are no special case.
+documents. A stage first writes its input with a number for each row and decides by that number, so repeated and NULL ids
+are no special case, columns may have any names, and later readings may split the files as they like. NULL, empty and blank
+texts have no words: the classifier rejects them, and the later stages leave them alone. An empty table stays empty.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,31 +23,46 @@ from hubmetrics.llm.toxicity import fit_toxicity, toxicity_scores
 from hubmetrics.storage import materialize
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose number is not in ``dropped``; the written list's true size decides how it is joined."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(materialize(dropped.select("_row"), "dropped"), "_row", "left_anti").drop("_row")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of ``docs`` with a number for each row, and the name of that column, which no other column has."""
+    taken = {c.lower() for c in docs.columns}
+    row = next(name for k in itertools.count() if (name := f"stage_row_{k}") not in taken)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _without(numbered: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose number is not in ``dropped``; the written list's true size decides how it is joined."""
+    return numbered.join(materialize(dropped.select(row), "dropped"), row, "left_anti").drop(row)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier finds good."""
-    return _without(docs, quality_scores(docs).where("predicted = 0"))
+    """Documents that the weakly supervised classifier finds good. Texts without a word are rejected."""
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, quality_scores(numbered, id_column=row).where("predicted = 0"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic. Without any labelled row nothing is known, and all documents stay."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity_scores(docs, model).where("predicted = 1"))
+    if not model.learned:
+        return docs
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, toxicity_scores(numbered, model, id_column=row).where("predicted = 1"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return _without(docs, ngram_components(docs, n=5, percent=80).where(~F.col("kept")))
+    """One document of each group of near copies, that with the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Texts without a word are near copies of nothing.
+    """
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, ngram_components(numbered, n=5, percent=80, row_column=row).where(~F.col("kept")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with a benchmark item."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that share no window of ten words, and no whole shorter item, with the benchmark."""
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, contamination(numbered, table(spark, sf_dir, "benchmark"), id_column=row).where("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,18 +383,21 @@ def exact_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame
 
 
 def ngram_components(
-    docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, n: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text",
+    row_column: str | None = None,
 ) -> DataFrame:
     """``id, n_shingles, component_id, kept, _row`` of each row of ``docs``.
 
     Rows link when 100 * intersection >= percent * union of their sets of ``n``-word shingles. ``component_id`` is the
     smallest id reachable by links, ``kept`` is true for one row of each component (smallest id, then the first row), and
-    ``_row`` numbers the rows as ``monotonically_increasing_id`` does. NULL, empty and blank texts have no shingles and
+    ``_row`` numbers the rows as ``monotonically_increasing_id`` does, unless ``docs`` has numbers of its own, all of them
+    different, in ``row_column``; the result then has that column instead. NULL, empty and blank texts have no shingles and
     link with nothing: they are their own component and kept. Repeated rows are linked with each other. A NULL id is
     never the smallest while another id is there. An empty table gives no rows; other columns do not matter.
     """
     source = docs.select(
-        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.monotonically_increasing_id().alias("_row"),
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"),
+        (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("_row"),
         # A row's content finds it again, even if a second reading deals rows to other partitions.
         F.xxhash64(id_column, text_column).alias("_h"))
     counts = _bucket_counts(source, "_text", n)
@@ -418,5 +421,6 @@ def ngram_components(
     return placed.select(
         F.col("_id").alias(id_column), F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("least.id")).alias("component_id"),
-        (F.col("node").isNull() | (F.col("least.row") == F.col("_row"))).alias("kept"), "_row",
+        (F.col("node").isNull() | (F.col("least.row") == F.col("_row"))).alias("kept"),
+        F.col("_row").alias(row_column or "_row"),
     )

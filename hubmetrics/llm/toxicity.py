@@ -58,6 +58,8 @@ class Model:
     """Weights of the chosen words' columns and an intercept."""
 
     def __init__(self, rows: list[np.ndarray], target: np.ndarray, swap_weight: float):
+        #: False if there was no labelled row to learn from.
+        self.learned = len(rows) > 0
         terms = _terms()
         n1, n0 = max(target.sum(), 1.0), max((1 - target).sum(), 1.0)
         seen = np.concatenate(rows or [np.empty(0, np.int32)])

@@ -523,3 +523,100 @@ def test_pipeline_stages(spark):
             assert set(docs.columns) == names
             assert docs.exceptAll(before.select(docs.columns)).count() == 0 and docs.count() < before.count()
     assert docs.agg({"length": "sum"}).first()[0] > 0
+
+
+ODD_DOCS = "_id string, doc_id long, text string, Stage_Row_0 long, stage_row_1 string, lang string, kept boolean, predicted int"
+
+
+def odd_documents():
+    """Good, repeated, missing, empty and very long texts, repeated and missing ids, names that stages use themselves."""
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in ("river", "paper", "garden", "window", "train") for b in ("s", "ed", "ing", "ly", "er", "")]
+
+    def text(n):
+        return " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(n // 9))
+
+    a, long_one = text(90), text(30_000)
+    bodies = [(1, a), (1, a), (None, a), (2, a + " Unlike the rest."), (3, None), (4, ""), (5, "  \n"), (None, None),
+              (6, long_one), (7, text(120)), (7, text(120)), (8, "q"), (9, long_one + " End.")]
+    return [("x", i, t, 7, None, "en", True, 1) for i, t in bodies]
+
+
+def pipeline_tables(spark, tmp_path, docs, labels=(), items=()):
+    frame = spark.createDataFrame(docs, ODD_DOCS)
+    spark.createDataFrame(list(labels), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return frame
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+    rows = odd_documents()
+    docs = pipeline_tables(spark, tmp_path, rows, items=[(1, " ".join(rows[9][2].split()[20:32])), (None, None), (2, "")])
+    sf = str(tmp_path)
+    kept = {name: stage(spark, docs, sf) for name, stage in cp.STAGES[:-1]}
+    for name, found in kept.items():
+        assert found.schema.names == docs.schema.names, name
+        assert found.exceptAll(docs).count() == 0, name
+    ids = {name: sorted((r.doc_id if r.doc_id is not None else -1 for r in found.collect())) for name, found in kept.items()}
+    # No label is known, so no text is known to be toxic.
+    assert ids["toxicity"] == sorted(-1 if r[1] is None else r[1] for r in rows)
+    assert not {3, 4, 5, -1} & {i for i in ids["quality_classifier"] if i in (3, 4, 5)}
+    # One row of the three equal and the one near text, one of the two long ones; texts without words all stay.
+    assert ids["ngram_jaccard_join"] == [-1, 1, 3, 4, 5, 6, 7, 7, 8]
+    assert ids["benchmark_decontamination"] == sorted(-1 if r[1] is None else r[1] for k, r in enumerate(rows) if k != 9)
+    pieces = cp.STAGES[-1][1](spark, docs, sf)
+    assert pieces.groupBy().sum("length").first()[0] == sum(
+        r.n for r in pieces.where("start = 0").selectExpr("doc_tokens AS n").collect())
+
+
+def test_stages_on_no_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+    docs = pipeline_tables(spark, tmp_path, [])
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_drop_the_right_rows_however_files_are_split(spark, tmp_path):
+    """The decision and the removal read the stage's table with splits of different sizes."""
+    import corpus_pipeline as cp
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(5000)], "doc_id long, text string")
+    frame.repartition(3).write.option("parquet.block.size", 8192).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    numbered, row = cp._numbered(docs)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        dropped = numbered.where("doc_id % 3 = 0").select(row)
+        splits = dropped.rdd.getNumPartitions()
+        listed = spark.createDataFrame(dropped.collect(), dropped.schema)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert splits > numbered.rdd.getNumPartitions()
+        left = cp._without(numbered, row, listed)
+        assert sorted(r.doc_id for r in left.collect()) == [i for i in range(5000) if i % 3]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_warc_of_odd_ids_in_many_tasks(spark, monkeypatch):
+    """Equal rows, equal, missing and empty ids, ids with line breaks; no task reads more than it should."""
+    monkeypatch.setattr(warc, "TASK_BYTES", 500)
+    rows = [("a", "u", "same"), ("a", "u", "same"), (None, "u", "same"), ("", "u", "other"), ("b\r\nX-Page-Id: c", None, "other"),
+            ("z", "u", None), ("y", "u", ""), (None, None, None), ("long", "u", "x" * 200_000), ("é %41", "v\n", "q")]
+    frame = spark.createDataFrame(rows, "page_id string, url string, html string")
+    index = warc.write_warc(frame)
+    read = warc.read_warc(index)
+    assert read.rdd.getNumPartitions() >= min(len(rows), 2 * index.select("archive").distinct().count())
+    got = sorted((r.page_id or "", r.kind, r.refers_to or "", r.payload_bytes) for r in read.collect())
+    least = {"same": "a", "other": "", "": "y"}
+    first: set = set()
+    expected = []
+    for page, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or "")):
+        p = html or ""
+        new = p not in first
+        first.add(p)
+        expected.append((page or "", "response" if new else "revisit", "" if new else least[p], len(p.encode())))
+    assert got == sorted(expected)
+    assert {r.page_id for r in read.collect()} == {r[0] for r in rows}
+    assert warc.read_warc(index.where("false")).count() == 0
+    assert read.union(warc.read_warc(index.union(index))).count() == 3 * len(rows)
