@@ -14,6 +14,7 @@ from hubmetrics.queries.standins import (
 )
 from hubmetrics.sources import features as E
 from hubmetrics.sources import gtfs
+from hubmetrics.sources.collections import write_collections
 from hubmetrics.sources.features import write_report
 from hubmetrics.storage import scratch_path
 
@@ -156,6 +157,14 @@ def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(E.read_segment_features(spark, path), "segment_id")
 
 
+@query(with_ctes("points", _NUMBERED))
+def collection_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered segments written as whole FeatureCollections and read back by ranges of bytes."""
+    path = scratch_path(spark, "collections")
+    write_collections(E.segment_features(T.number_segments(_segments(spark, sf))), path)
+    return _flat(E.read_segment_features(spark, path, per_line=False), "segment_id")
+
+
 @query(with_ctes("parts", """SELECT station_id, name, list_contains(lines, 'PROMO') AS active, 'Point' AS kind FROM parts"""))
 def station_point_features(spark: SparkSession, sf: str) -> DataFrame:
     from hubmetrics.functions.lines import any_line_active

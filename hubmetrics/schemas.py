@@ -42,7 +42,6 @@ FEATURE = T.StructType([
         T.StructField("coordinates", T.ArrayType(T.ArrayType(DOUBLE))),
     ])),
 ])
-FEATURE_COLLECTION = T.StructType([T.StructField("type", TEXT), T.StructField("features", T.ArrayType(FEATURE))])
 
 
 def metrics(id_type: T.DataType) -> T.StructType:

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from hubmetrics import schemas
 from hubmetrics.functions.geo import point
+from hubmetrics.sources.collections import read_collections
 
 
 def read_segment_features(spark: SparkSession, path: str, per_line: bool = True) -> DataFrame:
-    """Segments from GeoJSON: one feature per line, or whole FeatureCollection files (each read by one task)."""
+    """Segments from GeoJSON: one feature per line, or FeatureCollection files, each read by as many tasks as it needs.
+
+    Features that cannot be read give NULLs.
+    """
     if per_line:
         features = spark.read.schema(schemas.FEATURE).json(path)
     else:
-        collections = spark.read.schema(schemas.FEATURE_COLLECTION).json(path, multiLine=True)
-        features = collections.select(F.explode("features").alias("f")).select("f.*")
+        features = read_collections(spark, path).select(F.from_json("value", schemas.FEATURE).alias("f")).select("f.*")
     ends = F.col("geometry.coordinates")
     return features.select("properties.*", _as_point(F.get(ends, 0)).alias("p1"), _as_point(F.element_at(ends, -1)).alias("p2"))
 
