@@ -1,16 +1,20 @@
 """Licence scan with a positional index of rare tokens.
 
 The index maps each word of the templates to its places in them. How many rows have each of these words is counted over the
-whole table, and words that fewer rows have weigh more. In a text the template words it has are looked up, rarest first. The
-rarest word of a template's first mandatory phrase that the text has opens candidates: each of its occurrences tells where
-the template would have to start. Every candidate is verified: the first phrase has to stand in its place, the others after
-it, in order and close by. So a text with a template's mandatory phrases has its label, however little of the rest it has.
+whole table, and words that fewer rows have weigh more. A template whose mandatory phrases' words a text all has is looked up
+by its rarest words: as many as are needed for the others to weigh less than ``SHARE`` of it, so that no alignment of that
+share can go unseen. Each of their places in the text, less the place in the template, tells where the template may start,
+give or take a slack, and there the places of all its words are intersected: a word agrees if it stands within the slack of
+its place. A template is found where its mandatory phrases stand with at most ``GAP`` words put between two of theirs and words of
+``SHARE`` of its weight agree, so notices with edits are found that no phrase search finds; and where the first phrase stands
+word for word with the others after it, however little of the rest is there, so notices cut short are found, too.
 Base phrases are found wherever their words stand side by side, whatever the index says.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -25,7 +29,7 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Label, template, mandatory phrases. Templates are the telling sentences of the public licence texts.
+#: Label, template, mandatory phrases. Templates are notices and telling sentences of the public licence texts (fixed values).
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
             "documentation files to deal in the software without restriction", ("permission is hereby granted free of charge",)),
@@ -42,70 +46,135 @@ TEMPLATES = (
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
               "following conditions are met", ("redistribution and use in source and binary forms",)),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", ("mozilla public license", "2 0")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the "
+            "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+            "and this permission notice shall be included in all copies or substantial portions of the software",
+     ("permission is hereby granted free of charge",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+                 "the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required "
+                 "by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+                 "basis without warranties or conditions of any kind either express or implied", ("apache license version 2",)),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 3 of the license or at your option any later "
+              "version", ("gnu general public license", "version 3")),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+              "license as published by the free software foundation either version 2 of the license or at your option any later "
+              "version", ("gnu general public license", "version 2")),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies",
+     ("permission to use copy modify and or distribute this software",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter "
+             "it and redistribute it freely subject to the following restrictions", ("alter it and redistribute it freely",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: Words by which a word, or three times by which a later phrase, may stand off its place in the template.
+#: Share of a template's weight that has to agree where its phrases are edited, and words that may stand between two of theirs.
+SHARE, GAP = 0.6, 3
+#: Words by which a word may stand off its place, and three times by which a later phrase may; an eighth of longer templates.
 SLACK = 6
 
 
+class Template:
+    """A template's words, where its phrases stand, and its words by rarity."""
+
+    def __init__(self, label: str, text: str, phrases, weight: dict[bytes, float]):
+        self.label, self.words = label, text.encode().split()
+        self.phrases = [p.encode().split() for p in phrases]
+        self.at = [next(k for k in range(len(self.words)) if self.words[k: k + len(p)] == p) for p in self.phrases]
+        self.needed = frozenset(w for p in self.phrases for w in p)
+        self.places: dict[bytes, list[int]] = defaultdict(list)
+        for k, w in enumerate(self.words):
+            self.places[w].append(k)
+        self.slack = max(SLACK, len(self.words) // 8)
+        self.weight = {w: weight[w] for w in self.places}
+        self.total = sum(self.weight[w] for w in sorted(self.places))
+        # Rarest words first, until what is left cannot agree enough without them.
+        rare = sorted(self.places, key=lambda w: (-weight[w], w))
+        left, self.openers = self.total, []
+        for w in rare:
+            if left < SHARE * self.total:
+                break
+            self.openers.append((w, self.places[w]))
+            left -= weight[w]
+        first = range(self.at[0], self.at[0] + len(self.phrases[0]))
+        w = next(w for w in rare if any(k in first for k in self.places[w]))
+        self.openers.append((w, [k for k in self.places[w] if k in first]))
+
+
+def _near(places: list[int], low: int, high: int) -> bool:
+    k = bisect_left(places, low)
+    return k < len(places) and places[k] <= high
+
+
 class Index:
     """Template words, their places, and what their rarity weighs."""
 
     def __init__(self, templates, rows: int, rows_with: dict[bytes, int]):
-        self.labels = [t[0] for t in templates]
-        self.words = [t[1].encode().split() for t in templates]
-        self.phrases = [[p.encode() for p in t[2]] for t in templates]
-        self.weight = {w: math.log((rows + 1) / (rows_with.get(w, 0) + 1)) + 1e-6 for ws in self.words for w in ws}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.first: list[tuple[frozenset[bytes], int, int]] = []
-        for t, ws in enumerate(self.words):
-            for k, w in enumerate(ws):
-                self.postings[w].append((t, k))
-            phrase = self.phrases[t][0].split()
-            place = next(k for k in range(len(ws)) if ws[k: k + len(phrase)] == phrase)
-            self.first.append((frozenset(phrase), place, place + len(phrase)))
+        vocabulary = {w for t in templates for w in t[1].encode().split()}
+        self.weight = {w: math.log((rows + 1) / (rows_with.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
+        self.templates = [Template(*t, self.weight) for t in templates]
 
     def find(self, words: list[bytes]) -> dict[str, float]:
-        """Labels found in a text, with the share of the weight of the template words it has that stand in their places."""
-        present = self.postings.keys() & set(words)
-        rare = sorted(present, key=lambda w: (-self.weight[w], w))
-        possible = {t for t, (phrase, _, _) in enumerate(self.first) if phrase <= present}
+        """Labels found in a text, each with its best share.
+
+        The share is the weight of the agreeing words in that of the template's, or, where the phrases stand word for word,
+        in that of the template's words that the text has.
+        """
+        present = self.weight.keys() & set(words)
+        possible = [t for t in self.templates if t.needed <= present]
+        if not possible:
+            return {}
+        at: dict[bytes, list[int]] = {w: [] for w in present}
+        for i, w in enumerate(words):
+            if w in present:
+                at[w].append(i)
         found: dict[str, float] = {}
-        for w in rare:
-            anchors = defaultdict(list)
-            for t, k in self.postings[w]:
-                if t in possible and self.first[t][1] <= k < self.first[t][2]:
-                    anchors[t].append(k)
-            if not anchors:
-                continue
-            possible -= anchors.keys()  # a rarer word of the phrase has opened all places where it can stand
-            at = -1
-            for _ in range(words.count(w)):
-                at = words.index(w, at + 1)
-                for t, places in anchors.items():
-                    label = self.labels[t]
-                    for k in places:
-                        if found.get(label, 0.0) < 1.0 and self._verified(t, at - k, words):
-                            found[label] = max(found.get(label, 0.0), self._share(t, at - k, words, present))
+        for t in possible:
+            seen = {i - k for w, places in t.openers for i in at.get(w, ()) for k in places}
+            for start in sorted({s + d for s in seen for d in range(-t.slack, t.slack + 1)}):
+                share = self.share(t, start, words, at)
+                if share is not None:
+                    found[t.label] = max(found.get(t.label, 0.0), share)
+                    if found[t.label] == 1.0:
+                        break
         return found
 
-    def _verified(self, t: int, start: int, words: list[bytes]) -> bool:
-        _, place, end = self.first[t]
-        if start + place < 0 or b" ".join(words[start + place: start + end]) != self.phrases[t][0]:
+    def share(self, t: Template, start: int, words: list[bytes], at: dict[bytes, list[int]]) -> float | None:
+        """The share of a template that may stand at ``start``, None if it does not stand there."""
+        exact = self._word_for_word(t, start, words)
+        if not exact and not all(self._phrase(t, j, start, at) for j in range(len(t.phrases))):
+            return None
+        # The postings of all words, intersected by their relative places.
+        agreed = sum(t.weight[w] for w in sorted(t.places) if w in at and any(
+            _near(at[w], start + k - t.slack, start + k + t.slack) for k in t.places[w]))
+        if exact:
+            return min(1.0, agreed / sum(t.weight[w] for w in sorted(t.places) if w in at))
+        return min(1.0, agreed / t.total) if agreed >= SHARE * t.total else None
+
+    def _word_for_word(self, t: Template, start: int, words: list[bytes]) -> bool:
+        place, phrase = t.at[0], t.phrases[0]
+        end = place + len(phrase)
+        if start + place < 0 or words[start + place: start + end] != phrase:
             return False
-        rest = b" " + b" ".join(words[start + end: start + len(self.words[t]) + 3 * SLACK]) + b" "
-        at = 0
-        for phrase in self.phrases[t][1:]:
-            at = rest.find(b" " + phrase + b" ", at)
-            if at < 0:
+        rest = b" " + b" ".join(words[start + end: start + len(t.words) + 3 * t.slack]) + b" "
+        k = 0
+        for later in t.phrases[1:]:
+            needle = b" " + b" ".join(later)
+            k = rest.find(needle + b" ", k)
+            if k < 0:
                 return False
-            at += len(phrase) + 1
+            k += len(needle)
         return True
 
-    def _share(self, t: int, start: int, words: list[bytes], present: set[bytes]) -> float:
-        own = present & set(self.words[t])
-        near = {w for k, w in enumerate(self.words[t]) if w in words[max(start + k - SLACK, 0): max(start + k + SLACK + 1, 0)]}
-        return min(1.0, sum(map(self.weight.get, sorted(near))) / sum(map(self.weight.get, sorted(own))))
+    def _phrase(self, t: Template, j: int, start: int, at: dict[bytes, list[int]]) -> bool:
+        """Whether a phrase's words follow each other near its place, at most ``GAP`` words between two."""
+        first, *later = t.phrases[j]
+        low, high = start + t.at[j] - t.slack, start + t.at[j] + t.slack
+        reached = at[first][bisect_left(at[first], low): bisect_right(at[first], high)]
+        for w in later:
+            reached = sorted({i for r in reached for i in at[w][bisect_right(at[w], r): bisect_right(at[w], r + 1 + GAP)]})
+        return bool(reached)
 
 
 def _document_counts(docs: DataFrame, text: str, vocabulary: list[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -138,7 +207,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     ``n_base`` counts all places of base phrases, ``first_word`` and ``last_word`` are the smallest and largest of their
     starts (NULL without any). ``labels`` are the base labels and those of verified templates. ``score`` is 1 with a base
-    phrase, else the best share, over verified templates, of the weight of the template words in the text. NULL and empty texts have no words, no labels
+    phrase, else the best share of a verified template that agrees. NULL and empty texts have no words, no labels
     and score 0. Repeated rows and NULL ids are each scanned; an empty table gives no rows; other columns do not matter.
     """
     base = dict(base or BASE_PHRASES)

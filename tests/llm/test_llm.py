@@ -19,7 +19,7 @@ from hubmetrics.llm.common import ASCII_LOWER, words_of
 from hubmetrics.llm.decontamination import contamination
 from hubmetrics.llm.embed_dedup import similar_vectors
 from hubmetrics.llm.graph import components
-from hubmetrics.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
+from hubmetrics.llm.licenses import BASE_PHRASES, TEMPLATES, Index, license_scan
 from hubmetrics.llm.ngram_join import ngram_components
 from hubmetrics.llm.packing import Plan, packed
 from hubmetrics.llm.queries import ORACLES, QUERIES
@@ -375,6 +375,53 @@ def test_licence_notices_cut_short(spark):
 # Embeddings
 
 
+def every_alignment(index, words):
+    """Labels by trying each template at each start."""
+    at = collections.defaultdict(list)
+    for i, w in enumerate(words):
+        if w in index.weight:
+            at[w].append(i)
+    out = {}
+    for t in index.templates:
+        if t.needed <= at.keys():
+            for start in range(-len(t.words) - t.slack, len(words) + t.slack):
+                share = index.share(t, start, words, dict(at))
+                if share is not None:
+                    out[t.label] = max(out.get(t.label, 0.0), share)
+    return out
+
+
+def test_licence_alignment_against_every_start():
+    """Notices with words dropped, changed and put in, side by side and repeated; shares and labels as by brute force."""
+    rng = random.Random(3)
+    rows_with = {w.encode(): rng.choice([0, 1, 50, 900, 1000]) for t in TEMPLATES for w in t[1].split()}
+    index = Index(TEMPLATES, 1000, rows_with)
+    edited = 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += rng.choices(["the", "license", "a", "version", "2", "software", "q"], k=rng.randrange(30))
+            rate = rng.choice([0, 0.05, 0.2])
+            for w in rng.choice(TEMPLATES)[1].split():
+                words += rng.choice([[], ["x"], [w, "y"], ["z", "q", w]]) if rng.random() < rate else [w]
+        words = [w.encode() for w in words]
+        found, expected = index.find(words), every_alignment(index, words)
+        assert found == pytest.approx(expected)
+        joined = b" " + b" ".join(words) + b" "
+        edited += any(all(b" " + t[2][0].encode() + b" " not in joined for t in TEMPLATES if t[0] == label) for label in found)
+    assert edited > 5
+
+
+def test_edited_notices(spark):
+    """Words put between those of a key phrase hide it from a phrase search; key words without the rest are no notice."""
+    mit = next(t[1] for t in TEMPLATES if t[0] == "mit" and len(t[1]) > 300)
+    texts = [mit.replace("hereby granted", "hereby irrevocably granted").replace("merge publish distribute sublicense", "change"),
+             mit.replace("granted", "refused"), "Permission slips is one thing; hereby he said granted a wish free and of no charge.", mit, mit]
+    got = license_scan(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["mit", "", "", "mit", "mit"]
+    assert 0.6 <= got[0].score < 1 and got[3].score == got[4].score == 1
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", block)
