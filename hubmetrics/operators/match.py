@@ -64,9 +64,13 @@ def match_by_alias_or_name(names: DataFrame, aliases: DataFrame, stations: DataF
 
 
 def match_exact_alias(names: DataFrame, aliases: DataFrame, stations: DataFrame, name: str = "stationname") -> DataFrame:
-    """All stations an alias of exactly this spelling belongs to; names without one are kept."""
+    """All stations an alias of exactly this spelling belongs to; names without one are kept.
+
+    A row of ``names`` comes once for each different station of its alias, however often the alias is listed.
+    """
+    listed = aliases.select(F.col("alias_name").alias(name), "alias_name", "station_id").distinct()
     return (
-        names.join(aliases.select(F.col("alias_name").alias(name), "alias_name", "station_id"), name, "left")
+        names.join(lookup_table(listed, "aliases"), name, "left")
         .join(stations.select("station_id", F.col("name").alias("station_name")), "station_id", "left")
     )
 
@@ -161,6 +165,11 @@ def scored_names(
     )
 
 
+def pair_counts(records: DataFrame) -> DataFrame:
+    """Records as distinct (ridership_id, stationname) with their number ``n``, written once: what matching depends on."""
+    return lookup_table(records.groupBy("ridership_id", "stationname").agg(F.count(F.lit(1)).alias("n")), "pairs")
+
+
 def match_by_score(
     records: DataFrame, stations: DataFrame, hints: Mapping[str, str] = rules.LINE_HINTS,
     special: Mapping[str, Sequence[str]] = rules.SPECIAL_NAMES,

@@ -32,12 +32,14 @@ def unmatched_report(unmatched: DataFrame, stations: DataFrame, hints) -> DataFr
     )
 
 
-def match_summary(matched: DataFrame) -> DataFrame:
+def match_summary(matched: DataFrame, rows: str | None = None) -> DataFrame:
     """Totals of a load. ``match_rate`` has only matched ids below the line; ``true_match_rate`` has all ids there.
 
-    The records are reduced to distinct (ridership id, station) before ids are counted, which keeps the counting small.
+    ``matched`` holds matched records, or matched ``pair_counts`` with their number in the column ``rows``, so that the
+    records themselves are never joined or shuffled. All is reduced to distinct (ridership id, station) before ids are
+    counted, which keeps the counting small.
     """
-    pairs = matched.groupBy("ridership_id", "station_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = matched.groupBy("ridership_id", "station_id").agg((F.sum(rows) if rows else F.count(F.lit(1))).alias("n"))
     hit = F.col("station_id").isNotNull()
     totals = pairs.agg(
         F.sum("n").alias("fetched"),

@@ -90,11 +90,24 @@ def first_missing(metrics: DataFrame, k: int = 10) -> DataFrame:
 
 def station_details(stations: DataFrame, metrics: DataFrame) -> DataFrame:
     """For every station at once: percentile, rounded system average, comparison in percent and in words."""
-    whole = materialize(stations.join(metrics.drop("city_code", "name"), "station_id", "left"), "details")
+    whole = _whole(stations, metrics)
+    return _compared(percentiles(whole), system_average(whole))
+
+
+def station_comparison(stations: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``station_details`` without the percentile, which is the only part that needs the stations in order."""
+    whole = _whole(stations, metrics)
+    return _compared(whole, system_average(whole))
+
+
+def _whole(stations: DataFrame, metrics: DataFrame) -> DataFrame:
+    return materialize(stations.join(metrics.drop("city_code", "name"), "station_id", "left"), "details")
+
+
+def _compared(whole: DataFrame, averages: DataFrame) -> DataFrame:
     less = percent_less(F.col("system_average"), F.col("rolling_30d_avg"))
     return (
-        percentiles(whole)
-        .join(system_average(whole), "city_code", "left")
+        whole.join(averages, "city_code", "left")
         .withColumn("percent_less", less)
         .withColumns({
             "explanation": comparison_text(F.col("percent_less")),

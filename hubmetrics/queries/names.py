@@ -179,6 +179,17 @@ def alias_exact(spark: SparkSession, sf: str) -> DataFrame:
     return X.match_exact_alias(listed, _aliases(spark, sf), part_stations(spark, sf))
 
 
+@query(_ALIAS_CTE + """, listed AS (SELECT alias_name AS stationname FROM aliases)
+    SELECT l.stationname, a.alias_name, p.station_id, p.name AS station_name FROM listed l
+    LEFT JOIN (SELECT DISTINCT alias_name, station_id FROM aliases) a ON a.alias_name = l.stationname
+    LEFT JOIN parts p ON p.station_id = a.station_id""")
+def alias_exact_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every alias looked up in a table that lists each of them three times."""
+    aliases = _aliases(spark, sf)
+    thrice = aliases.unionByName(aliases).unionByName(aliases)
+    return X.match_exact_alias(aliases.select(F.col("alias_name").alias("stationname")), thrice, part_stations(spark, sf))
+
+
 _SPECIAL_ROWS = ", ".join(f"('{raw}', '{target}')" for raw, targets in SPECIAL.items() for target in targets)
 _MATCH_CTE = with_ctes("parts records", f""", special AS (SELECT raw, {sql_norm('target')} AS normalized FROM (VALUES {_SPECIAL_ROWS}) v(raw, target)),
     stations AS (SELECT *, {sql_norm('name')} AS normalized, {sql_norm(sql_strip_paren('name'))} AS base FROM parts),
@@ -269,7 +280,8 @@ def unmatched_csv_report(spark: SparkSession, sf: str) -> DataFrame:
            CAST(count(DISTINCT ridership_id) FILTER (station_id IS NOT NULL) AS DOUBLE) / count(DISTINCT ridership_id) * 100 AS true_match_rate
     FROM matched""")
 def match_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.match_summary(X.match_by_score(part_records(spark, sf), part_stations(spark, sf), HINTS, SPECIAL))
+    pairs = X.pair_counts(part_records(spark, sf))
+    return Q.match_summary(X.match_by_score(pairs, part_stations(spark, sf), HINTS, SPECIAL), rows="n")
 
 
 @query(with_ctes("parts", f""", wanted AS (SELECT DISTINCT p_name || ' stop' AS alias_name, p_name AS canonical FROM part

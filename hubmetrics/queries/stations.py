@@ -178,8 +178,17 @@ def station_detail_percentile(spark: SparkSession, sf: str) -> DataFrame:
     SELECT station_id, CAST(floor(system + 0.5) AS BIGINT), NULL, 'No ridership data available', score
     FROM details WHERE rolling_30d_avg = 0"""))
 def system_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    compared = V.station_comparison(customer_stations(spark, sf), S.low_use_score(_visit_metrics(spark, sf)))
+    return compared.select("station_id", "system_average", "percent_less", "explanation", "score")
+
+
+@query(_detail_sql("""
+    SELECT station_id, city_code, percentile, CAST(floor(system + 0.5) AS BIGINT) AS system_average,
+           CAST(floor((system - nullif(rolling_30d_avg, 0)) / system * 100 + 0.5) AS BIGINT) AS percent_less, score
+    FROM details"""))
+def station_details(spark: SparkSession, sf: str) -> DataFrame:
     details = V.station_details(customer_stations(spark, sf), S.low_use_score(_visit_metrics(spark, sf)))
-    return details.select("station_id", "system_average", "percent_less", "explanation", "score")
+    return details.select("station_id", "city_code", "percentile", "system_average", "percent_less", "score")
 
 
 @query(with_ctes("customers visits visit_metrics", """

@@ -62,6 +62,17 @@ def test_two_passes_and_learning(spark):
     summary = Q.match_summary(X.match_by_score(records, table)).first()
     assert (summary.fetched, summary.inserted, summary.skipped, summary.match_rate) == (4, 3, 1, 100.0)
     assert round(summary.true_match_rate, 2) == 66.67
+    more = records.unionByName(records).unionByName(spark.createDataFrame([(None, "Nowhere"), (None, None)], records.schema))
+    whole = Q.match_summary(X.match_by_score(more, table)).first()
+    assert Q.match_summary(X.match_by_score(X.pair_counts(more), table), rows="n").first() == whole and whole.fetched == 10
+
+
+def test_exact_aliases_do_not_multiply(spark):
+    names = spark.createDataFrame([("x",)] * 3 + [("y",), ("z",), (None,)], "stationname string")
+    aliases = spark.createDataFrame([("x", "A")] * 4 + [("y", "A"), ("y", "B"), ("y", "B")], "alias_name string, station_id string")
+    got = X.match_exact_alias(names, aliases, stations(spark, ADDISON)).collect()
+    assert sorted((r.stationname or "", r.station_id or "") for r in got) == [
+        ("", ""), ("x", "A"), ("x", "A"), ("x", "A"), ("y", "A"), ("y", "B"), ("z", "")]
 
 
 def test_repeated_names_do_not_multiply_rows(spark):
