@@ -95,6 +95,11 @@ def canonical_order(lines: Column, canonical: Sequence[str] = rules.LINE_ORDER)
     return F.transform(F.array_sort(numbered), lambda s: s["x"])
 
 
+def contains_line(lines: Column, line: Column) -> Column:
+    """Whether a list has a line, whatever the case of either; no list or no line has none."""
+    return F.coalesce(F.exists(lines, lambda x: F.lower(x) == F.lower(line)), F.lit(False))
+
+
 def any_line_active(lines: Column, active: Sequence[str]) -> Column:
     return F.coalesce(F.arrays_overlap(lines, string_array(active)), F.lit(False))
 

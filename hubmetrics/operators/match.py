@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
+from hubmetrics.functions.lines import contains_line
 from hubmetrics.functions.names import infer_line, normalize_name, split_name, strip_paren
 from hubmetrics.storage import lookup_table, materialize
 
@@ -244,8 +245,7 @@ def unmatched_reasons(
         "Base name matches '%s' but line mismatch (expected: %s, found: [%s])",
         F.col("_seen._name"), F.col("_line"), F.concat_ws(" ", F.col("_seen.lines")),
     )
-    served = F.coalesce(F.array_contains(F.col("_served"), F.lower("_line")), F.lit(False))
-    wrong_line = F.col("_seen").isNotNull() & (F.col("_line") != "") & ~served
+    wrong_line = F.col("_seen").isNotNull() & (F.col("_line") != "") & ~contains_line(F.col("_served"), F.col("_line"))
     return (
         keyed.join(by_base, "_base", "left")
         .withColumn("reason", F.when(wrong_line, mismatch).otherwise(NO_BASE))

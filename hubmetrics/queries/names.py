@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubmetrics import rules
+from hubmetrics.functions import lines as L
 from hubmetrics.functions import names as N
 from hubmetrics.functions import parse as P
 from hubmetrics.operators import maintain as U
@@ -12,7 +14,7 @@ from hubmetrics.operators import match as X
 from hubmetrics.operators import quality as Q
 from hubmetrics.queries.registry import query
 from hubmetrics.queries.standins import (
-    HINTS, SPECIAL, part_records, part_stations, sql_base, sql_infer, sql_norm, sql_strip_paren, sql_suffix, table, with_ctes,
+    HINTS, SPECIAL, part_records, part_stations, sql_base, sql_infer, sql_norm, sql_strip_paren, sql_suffix, table, text_array, with_ctes,
 )
 from hubmetrics.sources.features import unmatched_csv, write_report
 from hubmetrics.sources.ridership import parse_csv_rows, parse_json_rows
@@ -34,6 +36,44 @@ _NAMES_SQL = """WITH names AS (SELECT s_name AS name FROM supplier UNION ALL SEL
     """
 
 
+def _quoted(texts) -> list[str]:
+    """Texts as they stand between quotes in SQL."""
+    return [t.replace("'", "''") for t in texts]
+
+
+_HINT_ROWS = dict(zip(_quoted(rules.LINE_HINTS), rules.LINE_HINTS.values()))
+_HINTED = f"listed AS (SELECT station_id, name || '-' || {text_array(_HINT_ROWS)}[1 + station_id % {len(_HINT_ROWS)}] AS listed FROM parts)"
+
+
+@query(with_ctes("parts", f""", {_HINTED}
+    SELECT station_id, listed, {sql_infer('(' + sql_suffix('listed') + ')', _HINT_ROWS)} AS line FROM listed"""))
+def feed_line_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that the feed's own suffixes point to, for names that end in each of them."""
+    suffixes = L.string_array(rules.LINE_HINTS)
+    place = (F.col("station_id") % len(rules.LINE_HINTS) + 1).cast("int")
+    listed = part_stations(spark, sf).select("station_id", F.concat("name", F.lit("-"), F.element_at(suffixes, place)).alias("listed"))
+    return listed.withColumn("line", N.infer_line(N.split_name(F.col("listed"))["suffix"], rules.LINE_HINTS))
+
+
+@query(with_ctes("parts", f""", coded AS (SELECT *, {text_array([*rules.ROUTE_LINES, 'X'])}[1 + station_id % {len(rules.ROUTE_LINES) + 1}] AS route_id FROM parts),
+    routes(route_id, line) AS (VALUES {", ".join(f"('{c}', '{n}')" for c, n in rules.ROUTE_LINES.items())})
+    SELECT route_id, line, count(*) AS n FROM coded LEFT JOIN routes USING (route_id) GROUP BY 1, 2"""))
+def feed_route_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the feed's route codes; an unknown code has none."""
+    codes = L.string_array([*rules.ROUTE_LINES, "X"])
+    coded = part_stations(spark, sf).withColumn("route_id", F.element_at(codes, (F.col("station_id") % (len(rules.ROUTE_LINES) + 1) + 1).cast("int")))
+    line = F.try_element_at(N.literal_map(rules.ROUTE_LINES), F.col("route_id"))
+    return coded.groupBy("route_id", line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_ctes("parts", r"""SELECT station_id, coalesce(list_contains(list_transform(lines, lambda x: lower(x)),
+      lower(regexp_extract(name, '\(([^)]*)\)', 1))), false) AS named FROM parts"""))
+def contains_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a station has the line that its name gives, here written in capitals."""
+    line = F.upper(F.regexp_extract("name", r"\(([^)]*)\)", 1))
+    return part_stations(spark, sf).select("station_id", L.contains_line(F.col("lines"), line).alias("named"))
+
+
 @query(_NAMES_SQL + f"SELECT name, {sql_norm('name')} AS normalized, count(*) AS n FROM names GROUP BY 1, 2")
 def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
     names = _all_names(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

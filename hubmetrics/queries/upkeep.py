@@ -153,6 +153,15 @@ def repair_nulls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(with_ctes("customers visits visit_metrics", """
+    SELECT station_id, CAST(coalesce(service_date_max, DATE '2024-06-01') AS VARCHAR) AS service_date_max FROM visit_metrics"""))
+def repair_empty_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates stored as text, an empty one where a station has no data."""
+    as_text = F.coalesce(F.col("service_date_max").cast("string"), F.lit(""))
+    repaired = U.repair_dates(_broken_metrics(spark, sf).withColumn("service_date_max", as_text))
+    return _dated(repaired, "service_date_max").select("station_id", "service_date_max")
+
+
 @query(with_ctes("customers visits visit_metrics", """
     SELECT count(*) FILTER (service_date_max IS NULL) AS empty_dates,
            count(*) FILTER (rolling_30d_avg = 0 OR rolling_90d_avg = 0) AS zero_averages,
