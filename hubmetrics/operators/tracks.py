@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
-from hubmetrics.functions.geo import corridor, haversine_m, in_box, length_bucket, line_distance, point, segment_key
+from hubmetrics.functions.geo import corridor, haversine_m, in_box, length_bucket, point, segment_key
 from hubmetrics.functions.names import literal_map
 from hubmetrics.plans.ordered import with_next, with_position
-from hubmetrics.storage import lookup_table, materialize
+from hubmetrics.storage import lookup_table
 
 SHAPE = ["route_id", "shape_id"]
-MAX_POINTS_PER_TASK = 100_000
-_PAIR = "route_id string, shape_id string, seq long, lon double, lat double, next_seq long, next_lon double, next_lat double"
 
 
 def route_shapes(routes: DataFrame, trips: DataFrame, points: DataFrame, route_lines: Mapping[str, str]) -> DataFrame:
@@ -34,13 +30,13 @@ def polyline_pairs(points: DataFrame) -> DataFrame:
     """Each point with the next one of its shape: ``p1, p2, metres, is_long``."""
     next_point = F.struct(F.col("seq"), F.col("lon"), F.col("lat"))
     paired = with_next(points, SHAPE, ["seq"], next_point, "_next").where(F.col("_next").isNotNull())
-    return _as_pairs(paired.select(
+    return as_pairs(paired.select(
         *SHAPE, "seq", "lon", "lat",
         F.col("_next.seq").alias("next_seq"), F.col("_next.lon").alias("next_lon"), F.col("_next.lat").alias("next_lat"),
     ))
 
 
-def _as_pairs(rows: DataFrame) -> DataFrame:
+def as_pairs(rows: DataFrame) -> DataFrame:
     p1, p2 = point(F.col("lon"), F.col("lat")), point(F.col("next_lon"), F.col("next_lat"))
     return (
         rows.withColumns({"p1": p1, "p2": p2})
@@ -50,175 +46,6 @@ def _as_pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _kept(x: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices of the points that line simplification keeps, for many lines at once.
-
-    ``first`` and ``last`` are the indices of the ends of each line. In every round all open spans are measured together
-    and cut at the first of their farthest points.
-    """
-    keep = np.zeros(len(x), dtype=bool)
-    keep[first] = keep[last] = True
-    a, b = first, last
-    while True:
-        wide = b - a > 1
-        a, b = a[wide], b[wide]
-        if len(a) == 0:
-            return np.flatnonzero(keep)
-        inner = b - a - 1
-        begin = np.cumsum(inner) - inner
-        span = np.repeat(np.arange(len(a)), inner)
-        at = np.arange(inner.sum()) + np.repeat(a + 1 - begin, inner)
-        ax, ay, bx, by = x[a][span], y[a][span], x[b][span], y[b][span]
-        dx, dy = bx - ax, by - ay
-        area = np.abs(dy * x[at] - dx * y[at] + bx * ay - by * ax)
-        ex, ey = x[at] - ax, y[at] - ay
-        point_like = (dx == 0) & (dy == 0)
-        distance = np.where(point_like, np.sqrt(ex * ex + ey * ey), area / np.where(point_like, 1.0, np.sqrt(dy * dy + dx * dx)))
-        largest = np.maximum.reduceat(distance, begin)
-        reached = np.flatnonzero(distance == largest[span])
-        far = at[reached[np.unique(span[reached], return_index=True)[1]]]
-        cut = largest > tolerance
-        a, b, far = a[cut], b[cut], far[cut]
-        keep[far] = True
-        a, b = np.concatenate([a, far]), np.concatenate([far, b])
-
-
-def _simplify_rows(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Pairs of consecutive kept points of whole spans that come one after the other."""
-    starts = np.flatnonzero(_new_span(rows))
-    ends = np.append(starts[1:], len(rows)) - 1
-    kept = _kept(rows["lon"].to_numpy(), rows["lat"].to_numpy(), starts, ends, tolerance)
-    span = np.searchsorted(starts, kept, side="right")
-    same = span[:-1] == span[1:]
-    one, two = rows.iloc[kept[:-1][same]].reset_index(drop=True), rows.iloc[kept[1:][same]].reset_index(drop=True)
-    return pd.DataFrame({
-        "route_id": one["route_id"], "shape_id": one["shape_id"], "seq": one["seq"], "lon": one["lon"], "lat": one["lat"],
-        "next_seq": two["seq"], "next_lon": two["lon"], "next_lat": two["lat"],
-    })
-
-
-def _new_span(rows: pd.DataFrame) -> np.ndarray:
-    """Where a row belongs to another span than the row before."""
-    keys = rows[[*SHAPE, "span"]]
-    return (keys != keys.shift()).any(axis=1).to_numpy()
-
-
-def simplified_pairs(
-    points: DataFrame, tolerance: float = rules.SIMPLIFY_TOLERANCE, max_points: int = MAX_POINTS_PER_TASK
-) -> DataFrame:
-    """Simplify each shape (Douglas-Peucker) and return the pairs of consecutive kept points.
-
-    Spans of at most ``max_points`` points are each simplified within one task. A larger shape is first cut at its
-    farthest points by plain aggregations over all its points, span by span, until every span is small enough. Spans
-    are independent, so the result is the same.
-    ``seq`` numbers the points of a shape; a number that occurs twice counts once. Points without place are left out.
-    """
-    unique = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).groupBy(*SHAPE, "seq").agg(F.min(F.struct("lon", "lat")).alias("_p")).select(
-        *SHAPE, "seq", "_p.lon", "_p.lat"
-    )
-    ends = F.struct("seq", "lon", "lat")
-    shapes = unique.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.min(ends).alias("a"), F.max(ends).alias("b"))
-    shapes = materialize(shapes.where(F.col("n") > 1), "shapes")
-    large = shapes.where(F.col("n") > max_points)
-    if large.isEmpty():
-        small = unique.join(shapes.select(*SHAPE), SHAPE, "left_semi").withColumn("span", F.lit(0).cast("bigint"))
-        return _as_pairs(_simplify_spans(small, tolerance))
-    unique = materialize(unique, "points")
-    small = unique.join(shapes.where(F.col("n") <= max_points).select(*SHAPE), SHAPE, "left_semi")
-    done = [small.select(*SHAPE, F.lit(0).cast("bigint").alias("span"), "seq", "lon", "lat")]
-    # Open spans carry their own end points on every inner point.
-    inner = unique.join(large.select(*SHAPE, "a", "b"), SHAPE).where(
-        (F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq"))
-    )
-    open_points = materialize(inner, "spans")
-    while True:
-        measured = open_points.withColumn(
-            "d", line_distance(F.struct("lon", "lat"), F.col("a"), F.col("b"))
-        )
-        spans = measured.groupBy(*SHAPE, F.col("a.seq").alias("span")).agg(
-            F.count(F.lit(1)).alias("inner"), F.min("a").alias("a"), F.min("b").alias("b"),
-            # The first of the farthest points: larger distance, then smaller number.
-            F.max(F.struct("d", (-F.col("seq")).alias("m"), "lon", "lat")).alias("far"),
-        )
-        spans = materialize(spans, "spans")
-        too_large = F.col("inner") + 2 > max_points
-        split = too_large & (F.col("far.d") > tolerance)
-        ready = spans.where(~too_large)
-        done.append(_span_points(open_points, ready))
-        # Nothing in these spans is far enough: only their ends stay.
-        done.append(_end_points(spans.where(too_large & ~split)))
-        cut = spans.where(split).select(*SHAPE, "span", F.struct(
-            (-F.col("far.m")).alias("seq"), F.col("far.lon").alias("lon"), F.col("far.lat").alias("lat")
-        ).alias("c"), "a", "b")
-        if cut.isEmpty():
-            break
-        # A half without inner points is a finished pair of its own.
-        halves = open_points.withColumn("span", F.col("a.seq")).drop("a", "b").join(cut, [*SHAPE, "span"])
-        before = F.col("seq") < F.col("c.seq")
-        next_points = materialize(
-            halves.where(F.col("seq") != F.col("c.seq")).select(
-                *SHAPE, "seq", "lon", "lat",
-                F.when(before, F.col("a")).otherwise(F.col("c")).alias("a"),
-                F.when(before, F.col("c")).otherwise(F.col("b")).alias("b"),
-            ),
-            "spans",
-        )
-        born = cut.select(*SHAPE, F.inline(F.array(
-            F.struct(F.col("a"), F.col("c").alias("b")), F.struct(F.col("c").alias("a"), F.col("b"))
-        )))
-        filled = next_points.select(*SHAPE, F.col("a.seq").alias("span")).distinct()
-        empty = born.withColumn("span", F.col("a.seq")).join(filled, [*SHAPE, "span"], "left_anti")
-        done.append(_end_points(empty))
-        open_points = next_points
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return _as_pairs(_simplify_spans(every, tolerance))
-
-
-def _end_points(spans: DataFrame) -> DataFrame:
-    """The two ends of each span as points of that span."""
-    return spans.select(*SHAPE, F.col("a.seq").alias("span"), F.explode(F.array("a", "b")).alias("p")).select(
-        *SHAPE, "span", "p.seq", "p.lon", "p.lat"
-    )
-
-
-def _span_points(open_points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Inner points and ends of the given spans."""
-    inner = open_points.withColumn("span", F.col("a.seq")).join(spans.select(*SHAPE, "span"), [*SHAPE, "span"], "left_semi")
-    return inner.select(*SHAPE, "span", "seq", "lon", "lat").unionByName(_end_points(spans))
-
-
-def _simplify_spans(points: DataFrame, tolerance: float) -> DataFrame:
-    """Spans are kept together by the shuffle and come in order; each task works through them batch by batch."""
-    def simplify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            # The last span may go on in the next batch.
-            last = int(np.flatnonzero(_new_span(rows))[-1]) if len(rows) else 0
-            if last:
-                yield _simplify_rows(rows.iloc[:last].reset_index(drop=True), tolerance)
-            rest = rows.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield _simplify_rows(rest, tolerance)
-
-    typed = points.select(
-        F.col("route_id").cast("string").alias("route_id"), F.col("shape_id").cast("string").alias("shape_id"),
-        "span", F.col("seq").cast("bigint").alias("seq"), "lon", "lat",
-    )
-    together = typed.repartition(*SHAPE, "span").sortWithinPartitions(*SHAPE, "span", "seq")
-    return together.mapInPandas(simplify, _PAIR)
-
-
-def simplified_points(pairs: DataFrame) -> DataFrame:
-    """The kept points of each shape, from the pairs of consecutive kept points."""
-    ends = F.inline(F.array(
-        F.struct(F.col("seq"), F.col("p1").alias("_p")), F.struct(F.col("next_seq").alias("seq"), F.col("p2").alias("_p"))
-    ))
-    return pairs.select(*SHAPE, ends).distinct().select(*SHAPE, "seq", "_p.lon", "_p.lat")
-
-
 def shared_segments(
     pairs: DataFrame, route_lines: Mapping[str, str] = rules.TRACK_ROUTE_LINES, corridor_rules=rules.CORRIDOR_RULES
 ) -> DataFrame:

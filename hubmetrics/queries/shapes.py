@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubmetrics.functions import geo as G
+from hubmetrics.functions.geo import line_distance
+from hubmetrics.operators import simplify as S
 from hubmetrics.operators import stitch as C
 from hubmetrics.operators import tracks as T
 from hubmetrics.queries.registry import query
@@ -16,7 +18,7 @@ from hubmetrics.sources import features as E
 from hubmetrics.sources import gtfs
 from hubmetrics.sources.collections import write_collections
 from hubmetrics.sources.features import write_report
-from hubmetrics.storage import scratch_path
+from hubmetrics.storage import lookup_table, scratch_path
 
 _ROUTES = {"click": "Red", "view": "Blue", "error": "Green", "purchase": "Pink"}
 _ROUTE_NAMES = text_array(_ROUTES)[1:-1]
@@ -341,15 +343,32 @@ _SIMPLIFY = with_ctes("points", """, pts AS (SELECT shape_id, seq, lon, lat, row
 
 @query(_SIMPLIFY.replace("TOLERANCE", "CAST(0.002 AS DOUBLE)"))
 def simplify(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = T.simplified_pairs(user_points(spark, sf), tolerance=0.002)
-    return T.simplified_points(pairs).select("shape_id", "seq", "lon", "lat")
+    pairs = S.simplified_pairs(user_points(spark, sf), tolerance=0.002)
+    return S.simplified_points(pairs).select("shape_id", "seq", "lon", "lat")
 
 
 @query(_SIMPLIFY.replace("TOLERANCE", "CAST(0.002 AS DOUBLE)"))
 def simplify_large_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the bound for one task so low that most shapes are cut across the cluster first."""
-    pairs = T.simplified_pairs(user_points(spark, sf), tolerance=0.002, max_points=20)
-    return T.simplified_points(pairs).select("shape_id", "seq", "lon", "lat")
+    """The same with slices so short that most shapes have several."""
+    pairs = S.simplified_pairs(user_points(spark, sf), tolerance=0.002, slice_points=20)
+    return S.simplified_points(pairs).select("shape_id", "seq", "lon", "lat")
+
+
+@query(with_ctes("points", """, ends AS (SELECT shape_id, count(*) AS n_points, min_by({'lon': lon, 'lat': lat}, seq) AS a,
+    max_by({'lon': lon, 'lat': lat}, seq) AS b FROM points GROUP BY 1)
+    SELECT shape_id, n_points, round(max(CASE WHEN a.lon = b.lon AND a.lat = b.lat
+        THEN sqrt((lon - a.lon) * (lon - a.lon) + (lat - a.lat) * (lat - a.lat))
+        ELSE abs((b.lat - a.lat) * lon - (b.lon - a.lon) * lat + b.lon * a.lat - b.lat * a.lon)
+          / sqrt((b.lat - a.lat) * (b.lat - a.lat) + (b.lon - a.lon) * (b.lon - a.lon)) END), 6) AS farthest
+    FROM points JOIN ends USING (shape_id) GROUP BY 1, 2"""))
+def farthest_points(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each shape strays from the line between its ends."""
+    points = user_points(spark, sf)
+    place = F.struct("lon", "lat")
+    ends = points.groupBy("shape_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.min_by(place, "seq").alias("a"), F.max_by(place, "seq").alias("b"))
+    return points.join(lookup_table(ends, "ends"), "shape_id").groupBy("shape_id", "n_points").agg(
+        F.round(F.max(G.line_distance(place, F.col("a"), F.col("b"))), 6).alias("farthest"))
 
 
 @query(with_ctes("points", f"SELECT {_LINE} AS line, count(*) AS n FROM points GROUP BY 1"))

@@ -2,12 +2,15 @@
 
 import math
 import random
+import uuid
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
+from hubmetrics.operators import simplify as S
 from hubmetrics.operators import stitch as C
 from hubmetrics.operators import tracks as T
 
@@ -34,8 +37,8 @@ def reference_simplify(points, tolerance):
     return reference_simplify(points[:at + 1], tolerance)[:-1] + reference_simplify(points[at:], tolerance)
 
 
-@pytest.mark.parametrize("max_points", [100_000, 40, 5])
-def test_simplify(spark, max_points):
+@pytest.mark.parametrize("slice_points", [10_000, 40, 5, 1])
+def test_simplify(spark, slice_points):
     rng = random.Random(3)
     shapes = {}
     for name, n in [("long", 400), ("mid", 30), ("two", 2), ("one", 1), ("ring", 60)]:
@@ -49,9 +52,9 @@ def test_simplify(spark, max_points):
         shapes[name] = walk
     rows = [("r", s, i * 3, *p) for s, walk in shapes.items() for i, p in enumerate(walk)]
     df = spark.createDataFrame(rows + rows[:50], POINTS).repartition(3)
-    pairs = T.simplified_pairs(df, 1.5, max_points)
+    pairs = S.simplified_pairs(df, 1.5, slice_points)
     got = {}
-    for r in T.simplified_points(pairs).orderBy("shape_id", "seq").collect():
+    for r in S.simplified_points(pairs).orderBy("shape_id", "seq").collect():
         got.setdefault(r.shape_id, []).append((r.lon, r.lat))
     assert got == {s: reference_simplify(walk, 1.5) for s, walk in shapes.items() if len(walk) > 1}
     assert pairs.count() == sum(len(v) - 1 for v in got.values())
@@ -59,10 +62,64 @@ def test_simplify(spark, max_points):
 
 def test_straight_large_shape_keeps_only_its_ends(spark):
     df = spark.createDataFrame([("r", "s", i, float(i), 0.0) for i in range(200)], POINTS)
-    got = T.simplified_points(T.simplified_pairs(df, 0.1, 10)).orderBy("seq").collect()
+    got = S.simplified_points(S.simplified_pairs(df, 0.1, 10)).orderBy("seq").collect()
     assert [r.seq for r in got] == [0, 199]
 
 
+def jobs_of(spark, work):
+    """How many jobs Spark starts for some work."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_simplification_takes_no_more_passes_when_cuts_follow_one_another(spark):
+    """Every cut of the first shape lies next to an end of its span; the second has none."""
+    n = 300
+    walks = {"comb": [(float(i), 3.0 ** -i * 1e9) for i in range(n)], "flat": [(float(i), 0.0) for i in range(n)]}
+    jobs = {}
+    for name, walk in walks.items():
+        df = spark.createDataFrame([("r", name, i, *p) for i, p in enumerate(walk)], POINTS)
+        got = []
+        jobs[name] = jobs_of(spark, lambda: got.extend(S.simplified_points(S.simplified_pairs(df, 1e-6, 7)).orderBy("seq").collect()))
+        assert [(r.lon, r.lat) for r in got] == reference_simplify(walk, 1e-6)
+    assert jobs["comb"] == jobs["flat"]
+
+
+def test_simplification_prefers_the_first_of_equally_far_points(spark):
+    """Four equal peaks over a straight way, in different slices."""
+    walk = [(float(i), 5.0 if i in (7, 23, 24, 39) else 0.0) for i in range(50)]
+    df = spark.createDataFrame([("r", "s", i, *p) for i, p in enumerate(walk)], POINTS)
+    for slice_points in (3, 8, 10_000):
+        got = S.simplified_points(S.simplified_pairs(df, 0.5, slice_points)).orderBy("seq").collect()
+        assert [(r.lon, r.lat) for r in got] == reference_simplify(walk, 0.5)
+
+
+def test_simplification_leaves_out_points_without_shape_or_place(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("r", "s", 0, 0.0, 0.0), ("r", "s", 1, nan, 9.0), ("r", "s", 2, inf, 9.0), ("r", "s", 3, None, 9.0), ("r", "s", 4, 5.0, 5.0),
+            ("r", "s", 4, 6.0, 5.0), ("r", "s", 5, 9.0, 0.0), (None, "s", 6, 1.0, 1.0), ("r", None, 7, 1.0, 1.0), (None, "s", 8, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, POINTS)
+    got = S.simplified_points(S.simplified_pairs(df, 0.1)).orderBy("seq").collect()
+    assert [(r.seq, r.lon, r.lat) for r in got] == [(0, 0.0, 0.0), (4, 5.0, 5.0), (5, 9.0, 0.0)]
+    assert S.simplified_pairs(df.limit(0)).count() == 0
+
+
+def test_box_bounds_hold_for_all_points_inside():
+    rng = np.random.default_rng(5)
+    for scale in (1e-9, 1e-3, 1.0, 1e4):
+        for _ in range(200):
+            x, y = -87.6 + scale * rng.normal(size=40), 41.9 + scale * rng.normal(size=40)
+            chord = [-87.6 + scale * rng.normal(), 41.9 + scale * rng.normal()] * 2 if rng.random() < 0.2 else [
+                v + scale * rng.normal() for v in (-87.6, 41.9, -87.6, 41.9)]
+            bound = S._bounds(np.array([[x.min(), y.min(), x.max(), y.max()]]), *chord)[0]
+            assert S._distance(x, y, *chord).max() <= bound
+
+
 def test_shared_segments_do_not_depend_on_direction(spark):
     there, back = [(0, -87.7, 41.9), (1, -87.71, 41.91)], [(0, -87.71, 41.91), (1, -87.7, 41.9)]
     rows = [("Red", "a", *p) for p in there] + [("G", "b", *p) for p in back] + [("Nope", "c", *p) for p in there]
