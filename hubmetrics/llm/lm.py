@@ -8,7 +8,8 @@ probabilities and back-off weights are stored in 16 bits. Levels are cut into sh
 shared folder and map them into memory, so they are never on the driver, and workers of a machine share the pages. Training
 tasks too take ids, counts and weights from the mapped levels, so nothing is joined or broadcast by word.
 
-Pairs of all words are counted; those that occur twice or more are stored. A pair's probability is its count over
+Pairs of all words are counted and stored, unless the caller asks for a smaller model with ``min_count``: rarer pairs then
+fit the prior only, and their share stays in the context's remaining weight. A pair's probability is its count over
 ``context count + prior`` plus the context's remaining weight times the word's own probability, the add-half estimate.
 ``prior`` is the one, of a grid, that predicts each training pair best from all others.
 """
@@ -30,9 +31,6 @@ from hubmetrics.llm.common import bound_batches, crc_fold, emit_rows, map_rows,
 from hubmetrics.llm.warc import open_store
 from hubmetrics.storage import materialize, scratch_path
 
-#: Share of the training tokens that a word has to make for its pairs to count: none.
-SHARE = 0.0
-MIN_COUNT = 2
 PRIORS = (10.0, 100.0, 1e3, 1e4, 1e5, 1e6, 1e8)
 SHARD_ROWS = 1_000_000
 #: Tokens that a task counts before it passes sums on, of words and of pairs.
@@ -432,7 +430,7 @@ def _pair_counts(docs: DataFrame, text: str, word_shards: list[tuple]) -> DataFr
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def _repeated(pairs: DataFrame, word_shards: list[tuple], divisor: float) -> DataFrame:
+def _stored(pairs: DataFrame, word_shards: list[tuple], divisor: float, min_count: int) -> DataFrame:
     """Pairs to store, and a row per task with how many those are and how well each prior predicts all its pairs."""
     schema = T.StructType([*[T.StructField(k, T.LongType()) for k in ("a", "b", "n")], T.StructField("fit", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(schema)
@@ -444,7 +442,7 @@ def _repeated(pairs: DataFrame, word_shards: list[tuple], divisor: float) -> Dat
             a, b, n = (batch.column(i).to_numpy() for i in range(3))
             context, p = words.counts(a), (words.counts(b) + 0.5) / divisor
             fit += [(n * np.log((n - 1 + m * p) / (context - 1 + m))).sum() for m in PRIORS]
-            kept = np.flatnonzero(n >= MIN_COUNT)
+            kept = np.flatnonzero(n >= min_count)
             stored += len(kept)
             yield pa.RecordBatch.from_arrays([*[pa.array(c[kept]) for c in (a, b, n)], pa.nulls(len(kept), arrow.field(3).type)], schema=arrow)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()) for k in (None, None, stored)] + [pa.array([fit.tolist()], arrow.field(3).type)], schema=arrow)
@@ -460,8 +458,11 @@ class Model:
         self.word_shards, self.context_shards, self.pair_shards = word_shards, context_shards, pair_shards
 
 
-def train(docs: DataFrame, text_column: str = "text", folder: str | None = None) -> Model:
-    """Count all rows of ``docs`` and write the levels. NULL texts are an end alone; no rows give an empty model."""
+def train(docs: DataFrame, text_column: str = "text", folder: str | None = None, min_count: int = 1) -> Model:
+    """Count all rows of ``docs`` and write the levels. NULL texts are an end alone; no rows give an empty model.
+
+    Pairs that occur less than ``min_count`` times are counted but not stored.
+    """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "lm")
     counts = materialize(_word_counts(docs, text_column), "words")
@@ -469,7 +470,7 @@ def train(docs: DataFrame, text_column: str = "text", folder: str | None = None)
     total, distinct = int(row["n"] or 0), int(row["v"])
     divisor = total + 0.5 * (distinct + 1)
     word_shards = _shards(counts, ["h"], ["n"], -(-max(distinct, 1) // SHARD_ROWS), folder, _word_parts)
-    pairs = materialize(_repeated(_pair_counts(docs, text_column, word_shards), word_shards, divisor), "pairs")
+    pairs = materialize(_stored(_pair_counts(docs, text_column, word_shards), word_shards, divisor, min_count), "pairs")
     row = pairs.where(F.col("fit").isNotNull()).agg(
         F.sum("n").alias("n"), *[F.sum(F.col("fit")[k]).alias(f"m{k}") for k in range(len(PRIORS))]).first()
     prior = PRIORS[int(np.argmax([row[f"m{k}"] or 0.0 for k in range(len(PRIORS))]))]
@@ -568,8 +569,9 @@ def lm_scores(docs: DataFrame, model: Model, id_column: str = "doc_id", text_col
         T.StructField("base_score", double), T.StructField("score", double)], make)
 
 
-def lm_held_out(docs: DataFrame, folds: int = 5, held_out: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lm_held_out(docs: DataFrame, folds: int = 5, held_out: int = 1, id_column: str = "doc_id", text_column: str = "text",
+                min_count: int = 1) -> DataFrame:
     """Scores of all rows by a model of the rows outside one fold; adds ``held_out``."""
     marked = docs.select(F.col(id_column), F.col(text_column).alias("_text"), (crc_fold(F.col(id_column), folds) == held_out).alias("held_out"))
-    model = train(marked.where(~F.col("held_out")), "_text")
+    model = train(marked.where(~F.col("held_out")), "_text", min_count=min_count)
     return lm_scores(marked, model, id_column, "_text", ("held_out",))

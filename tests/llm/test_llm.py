@@ -176,7 +176,8 @@ def test_elias_fano(size, top):
     assert (level.successor(asked) == np.searchsorted(values, asked)).all()
 
 
-def test_language_model(spark, monkeypatch):
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_language_model(spark, monkeypatch, min_count):
     monkeypatch.setattr(lm, "SHARD_ROWS", 7)
     random.seed(4)
     docs = [(k, " ".join(random.choice(["the", "cat", "sat", f"w{random.randrange(30)}"]) for _ in range(random.randrange(40)))) for k in range(120)]
@@ -190,23 +191,21 @@ def test_language_model(spark, monkeypatch):
             pairs.update(zip(w, w[1:]))
     total, distinct = sum(count.values()), len(count)
     own = lambda w: (count[w] + 0.5) / (total + 0.5 * (distinct + 1))
-    usable = {w for w, c in count.items() if c >= max(lm.SHARE * total, lm.MIN_COUNT)}
-    seen = {p: c for p, c in pairs.items() if p[0] in usable and p[1] in usable}
-    fit = lambda m: sum(c * math.log((c - 1 + m * own(b)) / (count[a] - 1 + m)) for (a, b), c in seen.items())
+    fit = lambda m: sum(c * math.log((c - 1 + m * own(b)) / (count[a] - 1 + m)) for (a, b), c in pairs.items())
     prior = max(lm.PRIORS, key=fit)
-    for (a, _), c in seen.items():
-        if c >= lm.MIN_COUNT:
+    for (a, _), c in pairs.items():
+        if c >= min_count:
             follows[a] += c
 
     def score(w):
         out = math.log10(own(w[0]))
         for a, b in zip(w, w[1:]):
-            left = 1 - follows[a] / (count[a] + prior) if a in usable else 1.0
-            kept = seen.get((a, b), 0)
-            out += math.log10((kept / (count[a] + prior) if kept >= lm.MIN_COUNT else 0.0) + left * own(b))
+            left = 1 - follows[a] / (count[a] + prior)
+            kept = pairs[a, b]
+            out += math.log10((kept / (count[a] + prior) if kept >= min_count else 0.0) + left * own(b))
         return out
 
-    found = lm.lm_held_out(frame(spark, docs)).collect()
+    found = lm.lm_held_out(frame(spark, docs), min_count=min_count).collect()
     assert len(found) == len(docs)
     texts = collections.defaultdict(list)
     for d, t in docs:
@@ -219,7 +218,8 @@ def test_language_model(spark, monkeypatch):
     assert lm.lm_held_out(frame(spark, [])).count() == 0
 
 
-def test_language_model_pairs_of_rare_words(spark, monkeypatch):
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_language_model_pairs_of_rare_words(spark, monkeypatch, min_count):
     monkeypatch.setattr(lm, "SHARD_ROWS", 3)
     texts = ["the " * 350_000, "rare pair", "rare pair again", *[f"one{k} the" for k in range(20)], "the one3 one4", "hot rare", "hot pair", "hot rare pair"]
     count, pairs, follows = collections.Counter(), collections.Counter(), collections.Counter()
@@ -231,15 +231,15 @@ def test_language_model_pairs_of_rare_words(spark, monkeypatch):
     own = lambda w: (count[w] + 0.5) / divisor
     prior = max(lm.PRIORS, key=lambda m: sum(c * math.log((c - 1 + m * own(b)) / (count[a] - 1 + m)) for (a, b), c in pairs.items()))
     for (a, _), c in pairs.items():
-        follows[a] += c if c >= 2 else 0
+        follows[a] += c if c >= min_count else 0
     asked = ["rare pair", "hot rare pair again", "pair", "unseen pair", "one3 one4 the"]
-    model = lm.train(frame(spark, list(enumerate(texts))))
-    assert sum(s[2] for s in model.pair_shards) == sum(c >= 2 for c in pairs.values())
+    model = lm.train(frame(spark, list(enumerate(texts))), min_count=min_count)
+    assert sum(s[2] for s in model.pair_shards) == sum(c >= min_count for c in pairs.values())
     for r in lm.lm_scores(frame(spark, list(enumerate(asked))), model).collect():
         w = words_of(asked[r.doc_id]) + [b""]
         score = math.log10(own(w[0]))
         for a, b in zip(w, w[1:]):
-            c = pairs[a, b] if pairs[a, b] >= 2 else 0
+            c = pairs[a, b] if pairs[a, b] >= min_count else 0
             score += math.log10((c / (count[a] + prior) if c else 0) + (1 - follows[a] / (count[a] + prior) if a in count else 1) * own(b))
         assert math.isclose(r.score, score, abs_tol=1e-3 * len(w)), asked[r.doc_id]
 
