@@ -37,7 +37,7 @@ SHARD_ROWS = 1_000_000
 FLUSH = 1_000_000
 PAIR_FLUSH = 1_000_000
 #: Tokens looked up at a time when scoring.
-GROUP = 200_000
+GROUP = 600_000
 #: Bounds of stored log10 values.
 LOWEST = -16.0
 _SIGN = np.uint64(1 << 63)
@@ -92,7 +92,9 @@ class EliasFano:
         return {"low": packed, "high": words, "zeros": zeros.astype(np.uint64), "size": np.array([n, low], np.int64)}
 
     def __init__(self, parts: dict[str, np.ndarray], prefix: str):
-        self.packed, self.words, self.zeros = parts[prefix + "low"], parts[prefix + "high"], parts[prefix + "zeros"]
+        self.packed, self.words, self.zeros = parts[prefix + "low"], parts[prefix + "high"], parts[prefix + "zeros"].view(np.int64)
+        # Eight bytes from any byte on; the low bits end with bytes to spare.
+        self.eight = np.ndarray(len(self.packed) - 7, "<u8", np.ascontiguousarray(self.packed), strides=(1,))
         self.n, self.width = (int(v) for v in parts[prefix + "size"])
         self.ones = None
 
@@ -101,9 +103,7 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i * self.width
         byte, shift = at >> 3, (at & 7).astype(np.uint64)
-        out = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            out |= self.packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        out = self.eight[byte]
         out >>= shift
         if self.width > 56:
             more = self.packed[byte + 8].astype(np.uint64)
@@ -113,30 +113,31 @@ class EliasFano:
     @staticmethod
     def _within(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Place of the 1 with this rank in each word."""
-        place = np.zeros(len(words), np.int64)
+        words, rank = words.copy(), rank.astype(np.uint8)  # below 64
+        place = np.zeros(len(words), np.uint8)
         for half in (32, 16, 8, 4, 2, 1):
-            mask = np.uint64((1 << half) - 1)
-            count = np.bitwise_count((words >> place.astype(np.uint64)) & mask).astype(np.int64)
-            on = rank >= count
-            rank = np.where(on, rank - count, rank)
-            place = np.where(on, place + half, place)
-        return place
+            count = np.bitwise_count(words & np.uint64((1 << half) - 1))
+            on = (rank >= count).view(np.uint8)
+            rank -= count * on
+            on *= np.uint8(half)
+            place += on
+            words >>= on
+        return place.astype(np.int64)
 
     def _before(self, high: np.ndarray) -> np.ndarray:
         """How many numbers have smaller high bits: ones before the zero that ends the part ``high - 1``."""
         k = high - 1
         known = np.maximum(k, 0)
-        zeros = self.zeros.astype(np.int64)
-        word = np.searchsorted(zeros, known, "right") - 1
+        word = np.searchsorted(self.zeros, known, "right") - 1
         inside = word < len(self.words)
         word = np.minimum(word, len(self.words) - 1)
-        place = word * 64 + self._within(~self.words[word], known - zeros[word])
+        place = word * 64 + self._within(~self.words[word], known - self.zeros[word])
         return np.where(k < 0, 0, np.where(inside, np.minimum(place - known, self.n), self.n))
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``."""
         if self.ones is None:
-            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
+            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
         word = np.searchsorted(self.ones, i, "right") - 1
         place = word * 64 + self._within(self.words[word], i - self.ones[word])
         return ((place - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
@@ -182,7 +183,7 @@ def read_parts(uri: str) -> dict[str, np.ndarray]:
 
     store, path = open_store(uri)
     if isinstance(store, fs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
+        data = np.memmap(path, np.uint8, "r").view(np.ndarray)  # the subclass makes each access dear
     else:
         with store.open_input_file(path) as file:
             data = np.frombuffer(file.read(), np.uint8)
