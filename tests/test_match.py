@@ -75,6 +75,14 @@ def test_exact_aliases_do_not_multiply(spark):
         ("", ""), ("x", "A"), ("x", "A"), ("x", "A"), ("y", "A"), ("y", "B"), ("z", "")]
 
 
+def test_one_repeated_alias_is_dealt_over_tasks(spark):
+    many = [(f"s{i:03}", "Same Name", ["Red"]) for i in range(100)]
+    aliases = X.station_aliases(stations(spark, many))
+    got = X.match_exact_alias(aliases.select(F.col("alias_name").alias("stationname")), aliases, stations(spark, many))
+    assert got.count() == 10_000 and got.where("station_name = 'Same Name'").select("station_id").distinct().count() == 100
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_repeated_names_do_not_multiply_rows(spark):
     many = [(f"s{i:03}", "Same Name (Red)", ["Red"]) for i in range(300)]
     records = spark.createDataFrame([(str(i), "Same Name-State") for i in range(500)], "ridership_id string, stationname string")
