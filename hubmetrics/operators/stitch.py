@@ -3,20 +3,24 @@
 Paths are found without walking: at every vertex the segment ends of a group are paired in order of segment id, and the
 chains that these links form are ranked by pointer doubling, which takes as many rounds as the logarithm of the longest
 chain. No step brings a whole group or a whole path into one task.
+
+Pieces are written once, numbered in order of their names. All steps work on these numbers: an end is twice its piece's
+number, plus one for the side where the piece ends. Names come back in the last join. Most vertices join two ends, which the
+cells' aggregates tell, so only the ends of vertices with three or more are put in order one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hubmetrics import rules
 from hubmetrics.functions.geo import offset_px
 from hubmetrics.functions.lines import canonical_order, string_array
 from hubmetrics.plans.connected import follow, hooks
-from hubmetrics.plans.near import group_text, near_names
+from hubmetrics.plans.near import cell_box, cell_place, group_text, near_cells
 from hubmetrics.plans.ordered import with_position
 from hubmetrics.storage import lookup_table, materialize
 
@@ -59,97 +63,116 @@ def line_losses(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _pieces(exploded: DataFrame) -> DataFrame:
-    """Segments with a name of their own, unique over all lines. A segment id occurs once per line."""
-    return exploded.withColumn("piece", F.concat_ws("\u001f", "segment_id", "line"))
+    """Written segments with a name of their own, unique over all lines, and ``_id``, a number in the names' order.
 
+    A segment id occurs once per line. Partitions follow the order of the names, and so do the numbers.
+    """
+    named = exploded.withColumn("piece", F.concat_ws("\u001f", "segment_id", "line"))
+    ranged = named.repartitionByRange("piece").sortWithinPartitions("piece")
+    return materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "pieces")
 
-def segment_ends(pieces: DataFrame) -> DataFrame:
-    """Two rows per piece: side 0 where it starts, side 1 where it ends, with the ``vertex`` that near ends of a group share."""
-    sides = F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("p1.lon").alias("lon"), F.col("p1.lat").alias("lat")),
-        F.struct(F.lit(1).alias("side"), F.col("p2.lon").alias("lon"), F.col("p2.lat").alias("lat")),
-    ))
-    ends = pieces.select(*GROUP, "piece", sides)
-    vertices = near_names(ends, GROUP, rules.VERTEX_TOLERANCE, "vertex")
-    return ends.withColumn("group", group_text(GROUP)).join(
-        lookup_table(vertices, "vertices"), ["group", "lon", "lat"]).select(*GROUP, "piece", "side", "vertex")
 
+def piece_of(end: str) -> Column:
+    return F.shiftright(end, 1)
 
-def end_links(pieces: DataFrame) -> DataFrame:
-    """Which end continues in which: the first with the second end at a vertex, the third with the fourth, and so on."""
-    placed = with_position(segment_ends(pieces), [*GROUP, "vertex"], [F.col("piece").asc(), F.col("side").asc()])
-    end = F.struct("piece", "side")
-    pairs = (
-        placed.groupBy(*GROUP, "vertex", F.ceil(F.col("position") / 2).alias("_pair"))
-        .agg(F.min(end).alias("a"), F.max(end).alias("b"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == 2)
-    )
-    both = F.inline(F.array(
-        F.struct(F.col("a").alias("out"), F.col("b").alias("into")),
-        F.struct(F.col("b").alias("out"), F.col("a").alias("into")),
-    ))
-    return pairs.select(both).select(
-        F.col("out.piece").alias("piece"), F.col("out.side").alias("side"),
-        F.col("into.piece").alias("next_piece"), F.col("into.side").alias("next_side"),
-    )
 
+def other_side(end: str) -> Column:
+    return F.col(end).bitwiseXOR(F.lit(1).cast("bigint"))
 
-def _arcs(pieces: DataFrame, links: DataFrame) -> DataFrame:
-    """Both directions of every piece: ``node`` leaves through ``side``; ``nxt`` is the node it leads to."""
-    both = pieces.select("piece", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    node = F.concat_ws("\u001e", "piece", "side")
-    nxt = F.concat_ws("\u001e", "next_piece", F.lit(1) - F.col("next_side"))
-    return both.join(links, ["piece", "side"], "left").select(
-        node.alias("node"), "piece", "side", F.when(F.col("next_piece").isNotNull(), nxt).alias("nxt")
-    )
+
+def placed_ends(pieces: DataFrame) -> DataFrame:
+    """``group, i, j, lon, lat, end``: two rows per piece, each in its cell; ends without a place are left out.
+
+    The group is a digest of 128 bits of its columns.
+    """
+    sides = F.inline(F.array(*[
+        F.struct((F.col("_id") * 2 + side).alias("end"), F.col(f"{p}.lon").alias("lon"), F.col(f"{p}.lat").alias("lat"))
+        for side, p in enumerate(("p1", "p2"))]))
+    ends = pieces.select(F.unhex(F.md5(group_text(GROUP))).alias("group"), sides)
+    return ends.where("lon IS NOT NULL AND lat IS NOT NULL").withColumns(cell_place(rules.VERTEX_TOLERANCE))
 
 
-def _rank_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For every node of a chain: its last node, the steps to it and the least piece on the way.
+def end_cells(ends: DataFrame) -> DataFrame:
+    """Written cells of the tolerance's size with the number of ends in them, the first and the last, and their box."""
+    cells = ends.groupBy("group", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.min("end").alias("first"), F.max("end").alias("last"), *cell_box())
+    return materialize(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
+
+
+def end_links(pieces: DataFrame) -> DataFrame:
+    """``a, b``: which ends continue in which: the first with the second at a vertex, the third with the fourth, and so on."""
+    ends = placed_ends(pieces)
+    cells = end_cells(ends)
+    near = materialize(near_cells(cells, ends, rules.VERTEX_TOLERANCE, "cell"), "near")
+    cells = cells.select("group", "i", "j", "cell", "n", "first", "last")
+    # Cells that share their vertex with others; there may be none.
+    both = near.select(F.col("u").alias("cell")).union(near.select("v")).distinct()
+    named = lookup_table(follow(both.withColumn("vertex", F.col("cell")), "vertex", hooks(near)), "shared")
+    shared = cells.join(named, "cell")
+    totals = lookup_table(shared.groupBy("vertex").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")), "totals")
+    alone = cells.join(named, "cell", "left_anti").withColumn("vertex", F.col("cell"))
+    pairs = alone.select("n", "first", "last").unionByName(totals.select("n", "first", "last")).where(F.col("n") == 2)
+    crowded = alone.where("n > 2").select("group", "i", "j", "vertex").unionByName(
+        shared.select("group", "i", "j", "vertex").join(totals.where("n > 2").select("vertex"), "vertex", "left_semi").select("group", "i", "j", "vertex"))
+    listed = materialize(ends.join(lookup_table(crowded, "crowded"), ["group", "i", "j"]).select("vertex", "end"), "listed")
+    placed = with_position(listed, ["vertex"], [F.col("end").asc()])
+    more = placed.groupBy("vertex", F.ceil(F.col("position") / 2).alias("_pair")).agg(
+        F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 2)
+    return pairs.select(F.col("first").alias("a"), F.col("last").alias("b")).unionByName(more.select("a", "b"))
+
+
+def _arcs(links: DataFrame) -> DataFrame:
+    """``node, nxt``: leaving a piece through the end ``node`` one comes to another piece and leaves that through ``nxt``."""
+    return links.select(F.inline(F.array(
+        F.struct(F.col("a").alias("node"), other_side("b").alias("nxt")),
+        F.struct(F.col("b").alias("node"), other_side("a").alias("nxt")))))
+
+
+def _rank_chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """For every node of a chain of two or more: its last node, ``tail``, and the steps to it.
 
     Nodes on a ring have no last node; they are returned apart, with the least piece of their ring.
     """
-    # ``low`` covers the nodes passed so far, ``later`` the same without the node itself.
+    # ``low`` covers the pieces passed so far, ``later`` the same without the node's own.
     state = materialize(
-        arcs.select(
-            "node", "piece", "side", "nxt", F.coalesce("nxt", "node").alias("tail"),
-            F.when(F.col("nxt").isNotNull(), 1).otherwise(0).cast("bigint").alias("steps"),
-            F.col("piece").alias("low"), F.lit(None).cast("string").alias("later"),
-        ),
-        "chains",
-    )
+        arcs.select("node", "nxt", F.col("nxt").alias("tail"), F.lit(1).cast("bigint").alias("steps"), piece_of("node").alias("low"),
+                    F.lit(None).cast("bigint").alias("later")), "chains")
     finished, rings = [], []
     is_moving, moving_any = F.col("nxt").isNotNull(), F.coalesce(F.max(F.col("nxt").isNotNull()), F.lit(False))
     # A node that meets itself again and is the least on the way tells that its ring has been passed in full.
-    met_itself = F.coalesce(is_moving & (F.col("later") == F.col("piece")), F.lit(False))
-    going = state.agg(moving_any).first()[0]
+    met_itself = F.coalesce(is_moving & (F.col("later") == piece_of("node")), F.lit(False))
+    going, start = state.agg(moving_any).first()[0], True
     while going:
-        finished.append(state.where(~is_moving))
+        if not start:
+            finished.append(state.where(~is_moving))
         ahead = _union([
             s.select(
-                F.col("node").alias("nxt"), F.col("nxt").alias("_nxt"), F.col("tail").alias("_tail"),
-                F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("later").alias("_later"),
-            )
+                F.col("node").alias("nxt"), F.lit(True).alias("_found"), F.col("nxt").alias("_nxt"), F.col("tail").alias("_tail"),
+                F.col("steps").alias("_steps"), F.col("low").alias("_low"), F.col("later").alias("_later"))
             for s in [state, *finished[:-1]]
         ])
-        state = materialize(
-            state.where(is_moving).join(ahead, "nxt").select(
-                "node", "piece", "side", F.col("_nxt").alias("nxt"), F.col("_tail").alias("tail"),
-                (F.col("steps") + F.col("_steps")).alias("steps"),
-                F.least("low", "_low").alias("low"),
-                F.least("later", "_low", "_later").alias("later"),
-            ),
-            "chains",
-        )
+        # A next node without a row of its own is the last one of its chain.
+        moved = state.where(is_moving).join(ahead, "nxt", "left").select(
+            "node", F.col("_nxt").alias("nxt"), F.coalesce("_tail", "tail").alias("tail"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.least("low", F.coalesce("_low", piece_of("nxt"))).alias("low"),
+            F.least("later", F.coalesce("_low", piece_of("nxt")), "_later").alias("later"), F.col("_found").isNull().alias("_last"))
+        state = materialize(moved if start else moved.drop("_last"), "chains")
+        if start:
+            last = state.where("_last").select(
+                F.col("tail").alias("node"), F.lit(None).cast("bigint").alias("nxt"), "tail", F.lit(0).cast("bigint").alias("steps"),
+                piece_of("tail").alias("low"), F.lit(None).cast("bigint").alias("later"))
+            finished, state, start = [last], state.drop("_last"), False
         going, ring_passed = state.agg(moving_any, F.coalesce(F.max(met_itself), F.lit(False))).first()
         if ring_passed:
-            leaders = state.where(met_itself).select(F.col("piece").alias("low")).distinct()
+            leaders = state.where(met_itself).select("low").distinct()
             passed = state.where(is_moving).join(leaders, "low", "left_semi")
-            rings.append(passed.select("node", "piece", F.col("low").alias("leader")))
+            rings.append(passed.select("node", F.col("low").alias("leader")))
             state = materialize(state.join(rings[-1].select("node"), "node", "left_anti"), "chains")
             going = state.agg(moving_any).first()[0]
     finished.append(state)
-    return _union(finished), _union(rings)
+    return _union(finished).select("node", "tail", "steps"), _union(rings)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame | None:
@@ -166,37 +189,31 @@ def stitch_order(exploded: DataFrame) -> DataFrame:
 
     Every segment belongs to exactly one path. The least piece of a path runs in its stored direction.
     """
-    pieces = materialize(_pieces(exploded), "pieces")
-    links = materialize(end_links(pieces), "links")
-    chains, rings = _rank_chains(_arcs(pieces, links))
+    pieces = _pieces(exploded)
+    arcs = materialize(_arcs(end_links(pieces)), "arcs")
+    chains, rings = _rank_chains(arcs)
     if rings is not None and not rings.isEmpty():
         rings = materialize(rings, "rings")
         # A ring is opened where its least piece starts; what is left is a chain.
-        leaders = rings.select(F.col("leader").alias("piece")).distinct()
-        at_start = links.join(leaders, "piece", "left_semi").where(F.col("side") == 0)
-        cut = at_start.select("piece", "side").unionByName(
-            at_start.select(F.col("next_piece").alias("piece"), F.col("next_side").alias("side"))
-        )
-        members = rings.select("piece").distinct()
-        open_links = links.join(members, "piece", "left_semi").join(cut, ["piece", "side"], "left_anti")
-        chains = chains.unionByName(_rank_chains(_arcs(members, open_links))[0])
-    chains = materialize(chains.select("piece", "side", "tail", "steps", "low"), "ranked")
-    # The least piece of a whole path is the lesser of what the two directions saw.
-    path = chains.groupBy("piece").agg(F.min("low").alias("path_id"))
-    labelled = chains.join(path, "piece")
+        leaders = lookup_table(rings.select((F.col("leader") * 2).alias("node")).distinct(), "leaders")
+        at_start = arcs.join(leaders, "node", "left_semi")
+        cut = materialize(at_start.select("node").unionByName(at_start.select(other_side("nxt").alias("node"))), "cut")
+        open_arcs = arcs.join(rings.select("node"), "node", "left_semi").join(cut, "node", "left_anti")
+        chains = chains.unionByName(_rank_chains(open_arcs)[0])
+    chains = materialize(chains, "ranked")
     # Of the two directions keep the one in which the least piece leaves through its end.
-    chosen = labelled.groupBy("tail").agg(
-        F.max((F.col("piece") == F.col("path_id")) & (F.col("side") == 1)).alias("forward"),
-        (F.max("steps") + 1).alias("path_size"),
-    ).where("forward").drop("forward")
-    return (
-        labelled.join(lookup_table(chosen, "chosen"), "tail")
-        .select(
-            "piece", "path_id", "path_size", (F.col("path_size") - F.col("steps")).alias("position"),
-            (F.col("side") == 0).alias("reversed"),
-        )
-        .join(pieces, "piece").drop("piece")
-    )
+    chosen = chains.groupBy("tail").agg(F.min("node").alias("_least"), (F.max("steps") + 1).alias("path_size")).where(
+        F.col("_least") % 2 == 1)
+    names = pieces.select(F.col("_id").alias("_path"), F.col("piece").alias("path_id"))
+    chosen = lookup_table(chosen.withColumn("_path", piece_of("_least")).join(names, "_path").select("tail", "path_size", "path_id"), "chosen")
+    ordered = chains.join(chosen, "tail").select(
+        piece_of("node").alias("_id"), "path_id", "path_size", (F.col("path_size") - F.col("steps")).alias("position"),
+        (F.col("node") % 2 == 0).alias("reversed"))
+    # Pieces that are linked with none are paths of their own.
+    one = F.lit(1).cast("bigint")
+    return pieces.join(materialize(ordered, "ordered"), "_id", "left").withColumns({
+        "path_id": F.coalesce("path_id", "piece"), "path_size": F.coalesce("path_size", one), "position": F.coalesce("position", one),
+        "reversed": F.coalesce("reversed", F.lit(False))}).drop("_id", "piece")
 
 
 def stitched_features(ordered: DataFrame, max_segments: int | None = None) -> DataFrame:
@@ -232,21 +249,30 @@ def stitch(exploded: DataFrame, only_loop: bool = True, max_segments: int | None
     return single.unionByName(looped)
 
 
-def adjacent_pairs(exploded: DataFrame) -> DataFrame:
-    """Consecutive ends at each vertex of a group: a chain through all ends that meet, not all pairs of them."""
-    ends = segment_ends(_pieces(exploded)).groupBy(*GROUP, "vertex", "piece").agg(F.min("side").alias("side"))
-    placed = with_position(ends, [*GROUP, "vertex"], [F.col("piece").asc()])
-    nxt = placed.select(*GROUP, "vertex", (F.col("position") - 1).alias("position"), F.col("piece").alias("piece2"))
-    return placed.select(*GROUP, "vertex", "position", F.col("piece").alias("piece1")).join(
-        nxt, [*GROUP, "vertex", "position"]
-    ).drop("position")
+def piece_links(pieces: DataFrame) -> DataFrame:
+    """``u, v``: pieces that meet: each one at a vertex with the first of its cell, and the first ones of cells near each other."""
+    ends = placed_ends(pieces)
+    cells = end_cells(ends)
+    near = near_cells(cells, ends, rules.VERTEX_TOLERANCE, "first")
+    pairs = cells.where("n = 2").select(F.col("first").alias("u"), F.col("last").alias("v"))
+    crowded = lookup_table(cells.where("n > 2").select("group", "i", "j", "first"), "crowded")
+    more = ends.join(crowded, ["group", "i", "j"]).select(F.col("first").alias("u"), F.col("end").alias("v"))
+    met = near.unionByName(pairs).unionByName(more)
+    return met.select(piece_of("u").alias("u"), piece_of("v").alias("v"))
 
 
 def components(exploded: DataFrame) -> DataFrame:
     """Each piece with ``component``, the least piece it is connected to within its group."""
-    pieces = materialize(_pieces(exploded).select(*GROUP, "piece"), "pieces")
-    edges = adjacent_pairs(exploded).select(F.col("piece1").alias("u"), F.col("piece2").alias("v"))
-    return follow(pieces.withColumn("component", F.col("piece")), "component", hooks(edges))
+    pieces = _pieces(exploded.select("segment_id", *GROUP, "p1", "p2"))
+    rounds = hooks(piece_links(pieces))
+    numbered = pieces.select(*GROUP, "piece", "_id")
+    if not rounds:
+        return numbered.drop("_id").withColumn("component", F.col("piece"))
+    # Numbers follow the names' order, so the least number is that of the least name. The first round has all linked pieces.
+    linked = materialize(follow(rounds[0].select(F.col("u").alias("_id"), F.col("u").alias("_least")), "_least", rounds), "linked")
+    names = pieces.select(F.col("_id").alias("_least"), F.col("piece").alias("component"))
+    named = lookup_table(linked.where("_id <> _least").join(names, "_least").select("_id", "component"), "components")
+    return numbered.join(named, "_id", "left").withColumn("component", F.coalesce("component", "piece")).drop("_id")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

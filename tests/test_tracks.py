@@ -237,3 +237,15 @@ def test_components(spark, seed, n, grid):
     assert got == {i: least[find((line, i))] for i, _, _, (line,), _, _ in rows}
     sizes = C.component_sizes(C.components(exploded)).agg(F.sum("n_segments")).first()[0]
     assert sizes == n
+
+
+def test_links_are_numbers_in_the_order_of_names(spark):
+    """Names stay in the written pieces; what is shuffled and ranked are numbers. Four ends at one vertex make two pairs by name."""
+    rows = [("b", B, A), ("a", A, C_), ("d", D, A), ("c", A, B)]
+    pieces = C._pieces(C.explode_lines(segments(spark, rows), ["Red"]))
+    number = {r._id: r.segment_id for r in pieces.collect()}
+    assert [number[k] for k in sorted(number)] == ["a", "b", "c", "d"]
+    links = C.end_links(pieces)
+    assert {kind for _, kind in links.dtypes} == {"bigint"}
+    got = {frozenset((number[e >> 1], e & 1) for e in r) for r in links.collect()}
+    assert got == {frozenset({("a", 0), ("b", 1)}), frozenset({("c", 0), ("d", 1)}), frozenset({("b", 0), ("c", 1)})}
