@@ -127,9 +127,12 @@ def rows_in_window(stations: DataFrame, facts: DataFrame, start) -> DataFrame:
     )
 
 
-def moving_averages(facts: DataFrame) -> DataFrame:
-    """``station_id, service_date, entries, avg_30d, avg_90d``: the mean of the days up to each day with data, that day included."""
+def moving_averages(facts: DataFrame, unique: bool = False) -> DataFrame:
+    """``station_id, service_date, entries, avg_30d, avg_90d``: the mean of the days up to each day with data, that day included.
+
+    Facts with one row per station and day are ``unique`` and are not added up once more.
+    """
     ranged = with_day_ranges(
         facts, ["station_id"], "service_date", "entries",
-        {"avg_30d": rules.SHORT_WINDOW_DAYS, "avg_90d": rules.LONG_WINDOW_DAYS})
+        {"avg_30d": rules.SHORT_WINDOW_DAYS, "avg_90d": rules.LONG_WINDOW_DAYS}, unique)
     return ranged.select("station_id", "service_date", F.col("_sum").alias("entries"), "avg_30d", "avg_90d")

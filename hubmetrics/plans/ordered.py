@@ -116,15 +116,20 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], values: Sequence[str], ord
     return packed.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def with_day_ranges(df: DataFrame, keys: Sequence[str], day: str, value: str, ranges: dict[str, int]) -> DataFrame:
+def with_day_ranges(df: DataFrame, keys: Sequence[str], day: str, value: str, ranges: dict[str, int], unique: bool = False) -> DataFrame:
     """Per key and day the sum and number of values, and for each name of ``ranges`` the mean over so many days up to the day.
 
     Days without a row are not made up; both ends of a range count; NULL values are in no mean. The rows are reduced to one per
-    key and day first. A range that reaches back over the border of a slice finds the rows it needs in a copy of the last days
+    key and day first, unless they are ``unique``: beside the aggregate that made them so, another one would only fill a task's
+    memory with two more hash tables. A range that reaches back over the border of a slice finds the rows it needs in a copy of the last days
     before that slice, at most one row a day and border, so that a key with most of the rows spreads over all slices.
     """
     keys = list(keys)
-    daily = df.where(F.col(day).isNotNull()).groupBy(*keys, day).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    dated = df.where(F.col(day).isNotNull())
+    if unique:
+        daily = dated.select(*keys, day, F.col(value).alias("_sum"), F.col(value).isNotNull().cast("bigint").alias("_n"))
+    else:
+        daily = dated.groupBy(*keys, day).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
     sliced = slice_groups(daily, keys, [F.col(day)])
     longest = max(ranges.values())
     spans = sliced.groupBy(*keys, _SLICE).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))

@@ -351,4 +351,4 @@ def totals_nulls_last(spark: SparkSession, sf: str) -> DataFrame:
 def moving_averages(spark: SparkSession, sf: str) -> DataFrame:
     """Averages of the last 30 and 90 days for every day, a month being empty for every fourth station."""
     facts = supplier_facts(spark, sf).where((F.col("station_id") % 4 != 0) | (F.month("service_date") != 6))
-    return M.moving_averages(facts).withColumn("service_date", day_text(F.col("service_date")))
+    return M.moving_averages(facts, unique=True).withColumn("service_date", day_text(F.col("service_date")))

@@ -47,3 +47,12 @@ def test_means_over_days_cross_slices(spark):
         own = [v for a, b, v in rows if a == k and b == d and v is not None]
         want.add((k, d, sum(own) if own else None, len(own), mean(of(7)), mean(of(90))))
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_unique_days_are_not_added_up_again(spark):
+    start = datetime.date(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(d), v) for k in ("a", None) for d, v in ((0, 4), (3, None), (9, 1), (40, 7))] + [("a", None, 5)]
+    df = spark.createDataFrame(rows, "k string, d date, v bigint")
+    got = [ordered.with_day_ranges(df, ["k"], "d", "v", {"week": 7, "long": 90}, unique=u) for u in (True, False)]
+    assert {tuple(r) for r in got[0].collect()} == {tuple(r) for r in got[1].collect()} and got[0].count() == 8
+    assert got[0].dtypes == got[1].dtypes
