@@ -27,7 +27,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """A written copy of ``docs`` with a number for each row, and the name of that column, which no other column has."""
     taken = {c.lower() for c in docs.columns}
     row = next(name for k in itertools.count() if (name := f"stage_row_{k}") not in taken)
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd"), row
 
 
 def _without(numbered: DataFrame, row: str, dropped: DataFrame) -> DataFrame:

@@ -667,3 +667,11 @@ def test_warc_of_odd_ids_in_many_tasks(spark, monkeypatch):
     assert {r.page_id for r in read.collect()} == {r[0] for r in rows}
     assert warc.read_warc(index.where("false")).count() == 0
     assert read.union(warc.read_warc(index.union(index))).count() == 3 * len(rows)
+
+
+def test_numbered_copies_of_the_pipeline_are_packed_tightly(spark):
+    import corpus_pipeline
+
+    numbered, row = corpus_pipeline._numbered(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"))
+    assert all(f.endswith(".zstd.parquet") for f in numbered.inputFiles()) and numbered.select(row).distinct().count() == 2
+    assert {(r.doc_id, r.text) for r in numbered.collect()} == {(1, "a"), (2, None)}
