@@ -50,9 +50,9 @@ _TWO_LOADS = """, cut AS (SELECT max(service_date) - 200 AS day FROM facts),
 @functools.cache
 def _two_loads(spark: SparkSession, sf: str) -> tuple[CityStore, dict]:
     facts, stations = materialize(supplier_facts(spark, sf), "facts"), supplier_stations(spark, sf)
-    day = F.date_sub(facts.agg(F.max("service_date")).scalar(), 200)
+    day = F.lit(facts.agg(F.max("service_date")).first()[0] - datetime.timedelta(200))
     store = CityStore(spark, scratch_path(spark, "store"), stations)
-    store.load(facts.where(F.col("service_date") <= day))
+    store.load(facts.where(F.col("service_date") <= day), written=True)
     second = facts.where(F.col("service_date") > F.date_sub(day, 30)).join(stations.where("city_code < 'NATION_2'").select("station_id"), "station_id")
     return store, store.load(second.withColumn("entries", F.expr("entries div 2")))
 

@@ -11,6 +11,7 @@ their last 90 days.
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hubmetrics import rules, schemas
-from hubmetrics.operators.maintain import upsert_daily
 from hubmetrics.operators.metrics import station_metrics
 from hubmetrics.operators.score import low_use_score
+from hubmetrics.plans.ordered import latest_by_key
 from hubmetrics.sources.folders import drop_partitions, read_if_there
 from hubmetrics.sources.tables import with_month, write_metrics
-from hubmetrics.storage import materialize
+from hubmetrics.storage import lookup_table, materialize
 
 def city_text(column: str = "city_code") -> Column:
     """The city as text; a missing one is empty."""
@@ -61,7 +62,11 @@ class CityStore:
         self.spark, self.root, self.days = spark, root, days
         self.stations = stations
         self.id_type = stations.schema["station_id"].dataType
-        self.homes = stations.select("station_id", F.col("city_code").cast("string").alias("city_code"))
+
+    @functools.cached_property
+    def homes(self) -> DataFrame:
+        """Each station's city, written once, so that its true size decides on the broadcast."""
+        return lookup_table(self.stations.select("station_id", F.col("city_code").cast("string").alias("city_code")), "homes")
 
     def facts(self, folders: Iterable[tuple[str, str]] | None = None) -> DataFrame:
         """All facts, or those of some (city, month): literals on the folders' names, so that no other folder is read."""
@@ -74,7 +79,11 @@ class CityStore:
         places = [T.StructField(n, T.StringType()) for n in ("city_code", "month")]
         schema = T.StructType([T.StructField("station_id", self.id_type), *columns, *places])
         found = read_if_there(self.spark, f"{self.root}/{name}", schema)
-        return found if folders is None else found.where(F.concat_ws("/", city_text(), "month").isin([f"{c or ''}/{m}" for c, m in folders]))
+        return found if folders is None else self._in(found, folders)
+
+    @staticmethod
+    def _in(table: DataFrame, folders: Iterable[tuple[str, str]]) -> DataFrame:
+        return table.where(F.concat_ws("/", city_text(), "month").isin([f"{c or ''}/{m}" for c, m in folders]))
 
     def of_cities(self, table: DataFrame, cities: list[str]) -> DataFrame:
         return table.where(city_text().isin([c or "" for c in cities]))
@@ -87,90 +96,95 @@ class CityStore:
         """Rows (station_id, service_date, entries) with city and month; rows of unknown stations go."""
         return with_month(rows.select("station_id", "service_date", "entries").join(self.homes, "station_id"))
 
-    def anchors(self, cities: list[str], batch: DataFrame | None = None) -> DataFrame:
-        """``city_code, anchor``: the last date of each city, from the state and the batch; a row per city."""
-        last = self.of_cities(self.months(), cities).select("city_code", "last")
-        if batch is not None:
-            last = last.unionByName(batch.select("city_code", F.col("service_date").alias("last")))
-        return last.groupBy("city_code").agg(F.max("last").alias("anchor"))
+    def anchors(self, cities: list[str]) -> DataFrame:
+        """``city_code, anchor``: the last stored date of each city, from the state; a row per city."""
+        return self.of_cities(self.months(), cities).groupBy("city_code").agg(F.max("last").alias("anchor"))
 
-    def load(self, rows: DataFrame, order: Column | None = None, older: DataFrame | None = None) -> dict:
+    def load(self, rows: DataFrame, order: Column | None = None, older: DataFrame | None = None, written: bool = False) -> dict:
         """Merge rows into the facts, prune and refresh the touched cities. Gives the late rows, ``late``, and counts.
 
-        ``older`` rows are added where no fact is stored yet. Running a load twice leaves the tables as they are.
+        ``older`` rows are added where no fact is stored yet. Running a load twice leaves the tables as they are. Rows that come
+        from a ``written`` table are not written once more. All of them are read for each station's last day only, and once more
+        for the timely ones among them: what follows sees these alone.
         """
-        batch = self.placed(rows).withColumn("_rank", F.lit(0).cast("bigint") if order is None else order.cast("bigint"))
+        batch = rows.select("station_id", "service_date", "entries", (F.lit(0) if order is None else order).cast("bigint").alias("_rank"))
         if older is not None:
-            batch = batch.unionByName(self.placed(older).withColumn("_rank", F.lit(None).cast("bigint")))
-        batch = materialize(batch, "batch")
-        # A short list: cities and months of one batch.
-        cities = [r.city_code for r in batch.select("city_code").distinct().collect()]
+            batch = batch.unionByName(older.select("station_id", "service_date", "entries", F.lit(None).cast("bigint").alias("_rank")))
+        if not written:
+            batch = materialize(batch, "batch")
+        last = batch.groupBy("station_id").agg(F.max("service_date").alias("last"))
+        seen = lookup_table(last.join(self.homes, "station_id"), "seen")
+        # Short lists: cities of one batch, and the months that they keep.
+        new = seen.groupBy(city_text().alias("city_code")).agg(F.max("last").alias("last")).collect()
+        cities = [r.city_code for r in new]
         if not cities:
-            return {"late": batch.drop("_rank", "city_code", "month"), "cities": [], "removed": 0}
-        cutoffs = materialize(self.anchors(cities, batch).select("city_code", F.date_sub("anchor", self.days).alias("cutoff")), "cutoffs")
-        marked = self._with_cutoff(batch, cutoffs)
-        timely, late = marked.where("service_date >= cutoff").drop("cutoff"), marked.where("service_date < cutoff")
-        folders = [tuple(r) for r in timely.select("city_code", "month").distinct().collect()]
-        self.merge(timely, folders)
-        removed = self.prune(cutoffs, cities)
-        self.refresh(cities)
-        return {"late": late.select("station_id", "service_date", "entries"), "cities": cities, "removed": removed}
+            return {"late": batch.where("false").drop("_rank"), "cities": [], "removed": 0}
+        months = self.of_cities(self.months(), cities)
+        held = months.groupBy(city_text().alias("city_code"), "month").agg(
+            F.sum("rows").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last")).collect()
+        ends = {c: max((r.last for r in (*new, *held) if r.city_code == c and r.last), default=None) for c in cities}
+        oldest = {c: end and end - datetime.timedelta(self.days) for c, end in ends.items()}
+        cutoffs = materialize(self.spark.createDataFrame(list(oldest.items()), "city_code string, cutoff date").coalesce(1), "cutoffs")
+        limits = lookup_table(self._with_cutoff(seen.drop("last"), cutoffs), "limits")
+        late = batch.join(limits, "station_id").where("service_date < cutoff").select("station_id", "service_date", "entries")
+        first = min((day for day in oldest.values() if day), default=None)
+        timely = materialize(
+            batch.where(F.col("service_date") >= F.lit(first)).join(limits, "station_id").where("service_date >= cutoff").drop("cutoff"), "timely")
+        past = [r for r in held if r.last < oldest[r.city_code]]
+        cut = [(r.city_code, r.month) for r in held if r.first < oldest[r.city_code] <= r.last]
+        removed = sum(r.rows for r in past)
+        if cut:  # told from the bits of the days before the cutoff
+            before = F.expr("bit_count(days & (shiftleft(1L, dayofmonth(cutoff)) - 1))")
+            removed += self._with_cutoff(self._in(months, cut), cutoffs).agg(F.sum(before).alias("n")).first().n
+        self.merge(timely, cut, cutoffs)
+        gone = [(r.city_code, r.month) for r in past]
+        if gone:
+            drop_partitions(self.spark, f"{self.root}/facts", gone)
+            drop_partitions(self.spark, f"{self.root}/months", gone)
+        self.refresh(cities, ends)
+        return {"late": late, "cities": cities, "removed": removed}
 
     @staticmethod
     def _with_cutoff(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
         own = cutoffs.select(city_text().alias("_city"), "cutoff")
         return rows.join(own, city_text() == F.col("_city")).drop("_city")
 
-    def merge(self, timely: DataFrame, folders: list[tuple[str, str]]) -> None:
-        """Upsert rows with a rank into the folders that they touch; rows without one count as older than stored facts."""
-        merged = upsert_daily(timely.where("_rank IS NULL"), self.facts(folders))
-        merged = upsert_daily(merged, timely.where("_rank IS NOT NULL"), F.col("_rank"))
-        self._replace(self.placed(merged))
+    def merge(self, timely: DataFrame, cut: list[tuple[str, str]], cutoffs: DataFrame) -> None:
+        """Upsert rows with a rank into the months that they touch; rows without one count as older than stored facts.
 
-    def _replace(self, rows: DataFrame) -> DataFrame:
+        Months that a cutoff falls into, ``cut``, are written again in the same step without what lies before it. The state says
+        that other months hold nothing so old. Whole months before the cutoff are not read.
+        """
+        touched = timely.select("city_code", F.trunc("service_date", "month").alias("service_date")).distinct()
+        folders = sorted({*cut, *[(r.city_code, r.month) for r in with_month(touched).collect()]}, key=str)
+        if not folders:
+            return
+        stored = self._with_cutoff(self.facts(folders), cutoffs).where("service_date >= cutoff")
+        step = F.when(F.col("_rank").isNotNull(), 2).otherwise(0)
+        both = timely.select("station_id", "service_date", "entries", step.alias("_step"), "_rank").unionByName(
+            stored.select("station_id", "service_date", "entries", F.lit(1).alias("_step"), F.lit(None).cast("bigint").alias("_rank")))
+        self._replace(self.placed(latest_by_key(both, ["station_id", "service_date"], ["entries"], F.struct("_step", "_rank", "entries"))))
+
+    def _replace(self, rows: DataFrame) -> None:
         """Write whole months of facts, then their state."""
         rows = materialize(rows, "months")
         self._write(rows, "facts")
-        state = materialize(month_state(rows), "state")
-        self._write(state, "months")
-        return state
-
-    def prune(self, cutoffs: DataFrame, cities: list[str]) -> int:
-        """Take facts before their city's cutoff off the disk; how many there were.
+        self._write(month_state(rows), "months")
 
-        The state tells which months hold such facts. Whole months go without being read, and only months that a cutoff falls
-        into are written again.
-        """
-        oldest = {r.city_code: r.cutoff for r in cutoffs.collect()}  # a row per touched city
-        held = self.of_cities(self.months(), cities).groupBy("city_code", "month").agg(F.sum("rows").alias("rows"), F.min("first").alias("first"))
-        held = [tuple(r) for r in held.collect()]  # a row per touched city and month kept
-        past = [(c, m) for c, m, _, _ in held if m < f"{oldest[c]:%Y-%m}"]
-        cut = [(c, m) for c, m, _, first in held if m == f"{oldest[c]:%Y-%m}" and first < oldest[c]]
-        removed = sum(rows for c, m, rows, _ in held if (c, m) in set(past))
-        if cut:
-            before = sum(rows for c, m, rows, _ in held if (c, m) in set(cut))
-            kept = self._with_cutoff(self.facts(cut), cutoffs).where("service_date >= cutoff").drop("cutoff")
-            state = self._replace(kept)
-            left = {(r.city_code, r.month): r.rows for r in state.groupBy("city_code", "month").agg(F.sum("rows").alias("rows")).collect()}
-            removed += before - sum(left.values())
-            past += [f for f in cut if f not in left]
-        if past:
-            drop_partitions(self.spark, f"{self.root}/facts", past)
-            drop_partitions(self.spark, f"{self.root}/months", past)
-        return removed
-
-    def recent(self, cities: list[str]) -> DataFrame:
-        """Facts in the months of each city's last 90 days."""
+    def recent(self, cities: list[str], ends: dict[str, datetime.date | None] | None = None) -> DataFrame:
+        """Facts in the months of each city's last 90 days; last days that are known already are handed in as ``ends``."""
+        if ends is None:
+            ends = {r.city_code: r.anchor for r in self.anchors(cities).collect()}
         wanted = [
-            (r.city_code, m) for r in self.anchors(cities).collect()
-            for m in month_names(r.anchor - datetime.timedelta(rules.LONG_WINDOW_DAYS), r.anchor)]
+            (city, m) for city, end in ends.items() if end
+            for m in month_names(end - datetime.timedelta(rules.LONG_WINDOW_DAYS), end)]
         return self.facts(wanted)
 
-    def refresh(self, cities: list[str]) -> None:
+    def refresh(self, cities: list[str], ends: dict[str, datetime.date | None] | None = None) -> None:
         """New metrics for some cities, from their state and their recent facts."""
         stations = self.stations.where(city_text().isin([c or "" for c in cities]))
         life = merged_life(self.of_cities(self.months(), cities))
-        recent = self.recent(cities).drop("city_code", "month")
+        recent = self.recent(cities, ends).drop("city_code", "month")
         write_metrics(low_use_score(station_metrics(stations, recent, life=life)), f"{self.root}/metrics")
 
     def days_with_data(self) -> DataFrame:

@@ -14,7 +14,9 @@ from hubmetrics.operators.score import low_use_score
 from hubmetrics.operators.serve import stored_station
 from hubmetrics.sources import folders
 from hubmetrics.sources.tables import read_table
+from hubmetrics.storage import materialize
 from hubmetrics.streaming import incremental as I
+from hubmetrics.streaming import store as S
 from hubmetrics.streaming.store import CityStore, month_names
 
 FACT = "station_id string, service_date date, entries bigint"
@@ -103,6 +105,28 @@ def test_pruning_reads_and_writes_only_the_month_of_the_cutoff(spark, tmp_path,
     assert store.load(spark.createDataFrame([("unknown", day(4, 5), 5)], FACT))["cities"] == []
 
 
+def test_a_load_writes_timely_rows_only_and_each_month_once(spark, tmp_path, stations, monkeypatch):
+    store = CityStore(spark, str(tmp_path), stations, days=60)
+    day = lambda m, d: datetime.date(2024, m, d)
+    store.load(spark.createDataFrame([("x0", day(2, 10), 1), ("x0", day(2, 20), 2), ("x1", day(2, 11), 3), ("x1", day(2, 12), 4)], FACT))
+    written = []
+
+    def noted(df, label, codec=None):
+        copy = materialize(df, label, codec)
+        written.append((label, copy.count()))
+        return copy
+
+    monkeypatch.setattr(S, "materialize", noted)
+    # The cutoff falls on 12 February; the batch touches that month too and brings many rows before it.
+    rows = [("x0", day(4, 12), 5), ("x0", day(2, 20), 6)] + [("x2", day(1, 1 + k % 30), k) for k in range(200)]
+    result = store.load(spark.createDataFrame(rows, FACT), written=True)
+    assert (result["removed"], result["late"].count()) == (2, 200)
+    assert sorted((r.station_id, r.service_date, r.entries) for r in store.facts().collect()) == [
+        ("x0", day(2, 20), 6), ("x0", day(4, 12), 5), ("x1", day(2, 12), 4)]
+    assert max(n for _, n in written) == 3 and [label for label, _ in written].count("months") == 1
+    assert sum(r.rows for r in store.months().collect()) == 3
+
+
 def test_rows_that_are_learned_later_become_facts(spark, tmp_path):
     tables = str(tmp_path)
     stations = spark.createDataFrame([("A", "x", None, "Addison (Blue)", ["Blue"]), ("B", "x", "5", "Belmont", [])], STATION)
