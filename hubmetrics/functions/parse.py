@@ -18,9 +18,9 @@ def parse_service_date(text: Column) -> Column:
 
 
 def parse_iso_day(text: Column) -> Column:
-    """The day of ``yyyy-MM-ddTHH:mm:ss.SSS``."""
-    stamp = F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$"), stamp.cast("date"))
+    """The day of ``yyyy-MM-ddTHH:mm:ss.SSS``. The form is fixed by the expression, up to the very end, so that a cast reads it."""
+    whole = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}\z")
+    return F.when(whole, text.try_cast("timestamp").cast("date"))
 
 
 def parse_count(text: Column) -> Column:

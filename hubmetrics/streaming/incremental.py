@@ -17,7 +17,7 @@ from hubmetrics.sources.folders import batch_rows, compact, exists, read_if_ther
 from hubmetrics.sources.ridership import parse_json_rows
 from hubmetrics.sources.tables import with_month, write_months
 from hubmetrics.storage import lookup_table, materialize
-from hubmetrics.streaming.store import CityStore
+from hubmetrics.streaming.store import CityStore, city_text
 
 FIRST_LOAD_DAYS = 7
 
@@ -172,6 +172,8 @@ def load_batch(
     late_schema = StructType([learned_schema["station_id"], schemas.RECORD["service_date"], schemas.RECORD["entries"]])
     for name, schema in (("learned", learned_schema), ("late", late_schema), ("unmatched", schemas.RECORD)):
         compact(spark, f"{tables}/{name}", schema, batch_id, MOST_FOLDERS)
+    # Every job over a stream's batch reads and parses its files anew, so that the typed records are written first.
+    records = materialize(records.select(*schemas.RECORD.names), "records")
     pairs = resolve_pairs(records, stations, hints, special)
     if aliases is not None:
         by_alias = match_by_alias_or_name(pairs.select("stationname").distinct(), aliases, stations).withColumnRenamed("station_id", "_alias")
@@ -199,10 +201,11 @@ def load_batch(
 
     store = CityStore(spark, tables, stations, days)
     first = not exists(spark, f"{tables}/metrics")
-    loaded = store.load(matched.where(hit), F.col("entries"), back)
+    loaded = store.load(matched.where(hit), F.col("entries"), back, written=True)
     loaded["late"].write.mode("overwrite").parquet(f"{tables}/late/batch={batch_id}")
-    if first:
-        store.refresh([r.city_code for r in stations.select(F.col("city_code").cast("string").alias("city_code")).distinct().collect()])
+    others = {r.city_code for r in store.homes.select(city_text().alias("city_code")).distinct().collect()} - set(loaded["cities"]) if first else set()
+    if others:
+        store.refresh(sorted(others))
     took = replayed.select("batch").distinct().collect()  # as many as there are folders
     for batch in sorted(r.batch for r in took):
         left = materialize(waiting.where(F.col("batch") == batch).join(ids.select("ridership_id"), "ridership_id", "left_anti").select(*schemas.RECORD.names), "left")

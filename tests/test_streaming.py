@@ -48,6 +48,22 @@ def test_three_runs_over_a_growing_folder(spark, tmp_path):
     assert metrics == {"A": (50, "normal"), "B": (0, "normal"), "C": (-1, "missing")}
 
 
+def test_a_batch_is_read_from_its_source_once(spark, tmp_path):
+    stations = spark.createDataFrame([("A", "x", None, "Addison (Blue)", ["Blue"]), ("B", "y", None, "Belmont", [])], STATION)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        seen.add(1)
+        return i
+
+    rows = spark.createDataFrame([("1", "Addison-O'Hare", datetime.date(2024, 3, d), d) for d in range(1, 6)], "ridership_id string, stationname string, service_date date, entries bigint")
+    records = rows.withColumn("ridership_id", F.udf(counted, "string").asNondeterministic()("ridership_id"))
+    report = I.load_batch(records, 0, stations, str(tmp_path))
+    assert seen.value == 5 and (report["fetched"], report["inserted"], report["cities"]) == (5, 5, 1)
+    metrics = {r.station_id: (r.city_code, r.ridership_rows, r.score) for r in spark.read.parquet(f"{tmp_path}/metrics").collect()}
+    assert metrics == {"A": ("x", 5, 0), "B": ("y", 0, -1)}
+
+
 def test_retained_reads_only_months_in_the_window(spark, tmp_path):
     stations = spark.createDataFrame([("A", "x", None, "A", [])], STATION)
     days = spark.createDataFrame([("A", datetime.date(2024, 12, 31), 1), ("A", datetime.date(2024, 1, 1), 2), ("A", datetime.date(2023, 12, 31), 3)],
