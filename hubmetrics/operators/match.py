@@ -17,6 +17,9 @@ from hubmetrics.functions.lines import contains_line
 from hubmetrics.functions.names import infer_line, normalize_name, split_name, strip_paren
 from hubmetrics.storage import lookup_table, materialize
 
+#: From this many keys on ``keep_all`` looks them up in a hash table for each partition, and neither side is sorted.
+MANY_KEYS = 1_000_000
+
 #: Into how many parts the names of one spelling are dealt where each meets all stations of its alias.
 DEALS = 16
 
@@ -85,10 +88,10 @@ def match_exact_alias(names: DataFrame, aliases: DataFrame, stations: DataFrame,
 
 def match_by_id(records: DataFrame, stations: DataFrame) -> DataFrame:
     """Add the station that carries the record's ``ridership_id``, NULL if none does."""
-    return records.join(lookup_table(_by_ridership_id(stations), "known"), "ridership_id", "left")
+    return records.join(lookup_table(by_ridership_id(stations), "known"), "ridership_id", "left")
 
 
-def _by_ridership_id(stations: DataFrame) -> DataFrame:
+def by_ridership_id(stations: DataFrame) -> DataFrame:
     known = stations.where(F.col("ridership_id").isNotNull())
     return known.groupBy("ridership_id").agg(F.min("station_id").alias("station_id"))
 
@@ -104,12 +107,13 @@ def _station_index(stations: DataFrame, special: Mapping[str, Sequence[str]]) ->
     """The best station (kind, key, line, station_id) for each way in which a name can match, written once.
 
     Kinds: "full" the whole normal form, "special" the raw name of a special rule, "line" base name and line, "plain"
-    base name of a station without lines, "any" base name.
+    base name of a station without lines, "any" base name. Stations of one spelling and the same lines match alike, so their
+    smallest id stands for all of them and each spelling is brought into its normal form once.
     """
-    named = stations.select(
-        "station_id", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"),
-        normalize_name(F.col("name")).alias("full"), normalize_name(strip_paren(F.col("name"))).alias("base"),
-    )
+    spelled = stations.groupBy("name", F.coalesce("lines", F.array().cast("array<string>")).alias("lines")).agg(
+        F.min("station_id").alias("station_id"))
+    named = spelled.select(
+        "station_id", "lines", normalize_name(F.col("name")).alias("full"), normalize_name(strip_paren(F.col("name"))).alias("base"))
     nothing = F.lit(None).cast("string")
 
     def entry(kind: str, key: Column, line: Column = nothing) -> Column:
@@ -192,8 +196,14 @@ def match_by_score(
 
 
 def keep_all(records: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which a missing key equals a missing key; all conditions stay equalities of columns."""
+    """Left join in which a missing key equals a missing key; all conditions stay equalities of columns.
+
+    ``resolved`` is a written table with one row per key, so its number of rows is known without reading it, and a partition
+    of its keys is small however often a key occurs in the records.
+    """
     theirs = resolved.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in resolved.columns if c not in keys])
+    if resolved.count() >= MANY_KEYS:
+        theirs = theirs.hint("shuffle_hash")
     same = F.lit(True)
     for k in keys:
         same = same & records[k].eqNullSafe(theirs[f"_r_{k}"])
@@ -206,20 +216,19 @@ def resolve_pairs(
 ) -> DataFrame:
     """The match of every distinct (ridership_id, stationname). The distinct pairs are written once and used often.
 
-    A missing or blank id is no id: it finds by name, teaches nothing and learns nothing.
+    A missing or blank id is no id: it finds by name, teaches nothing and learns nothing. Only pairs that found no station look
+    for a learned one.
     """
     pairs = materialize(records.select("ridership_id", "stationname").distinct(), "pairs")
-    known = _by_ridership_id(stations).withColumnRenamed("station_id", "_known")
+    known = by_ridership_id(stations).withColumnRenamed("station_id", "_known")
     named = scored_names(pairs, stations, hints, special).select("stationname", F.col("station_id").alias("_named"))
     first = pairs.join(known, "ridership_id", "left").join(named, "stationname", "left").select(
         "ridership_id", "stationname", F.coalesce("_known", "_named").alias("_found")
     )
     first = materialize(first, "first")
-    with_id = first.where(F.trim("ridership_id") != "")
-    learned = lookup_table(with_id.groupBy("ridership_id").agg(F.min("_found").alias("_learned")), "learned")
-    return first.join(learned, "ridership_id", "left").select(
-        "ridership_id", "stationname", F.coalesce("_found", "_learned").alias("station_id")
-    )
+    found, lost = first.where("_found IS NOT NULL"), first.where("_found IS NULL").drop("_found")
+    learned = found.where(F.trim("ridership_id") != "").groupBy("ridership_id").agg(F.min("_found").alias("_found"))
+    return found.unionByName(lost.join(lookup_table(learned, "learned"), "ridership_id", "left")).withColumnRenamed("_found", "station_id")
 
 
 def learned_ids(

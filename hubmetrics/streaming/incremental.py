@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 from hubmetrics import rules, schemas
 from hubmetrics.operators.maintain import city_cutoffs, upsert_daily
-from hubmetrics.operators.match import keep_all, match_by_alias_or_name, resolve_pairs
+from hubmetrics.operators.match import by_ridership_id, keep_all, match_by_alias_or_name, scored_names
 from hubmetrics.sources.folders import batch_rows, compact, exists, read_if_there
 from hubmetrics.sources.ridership import parse_json_rows
 from hubmetrics.sources.tables import with_month, write_months
@@ -136,19 +136,30 @@ def batch_cutoffs(stations: DataFrame, batch: DataFrame, metrics: DataFrame | No
 MOST_FOLDERS = 8
 
 
-def resolve_with_learned(
-    pairs: DataFrame, learned: DataFrame, batch_id: int
-) -> tuple[DataFrame, DataFrame]:
-    """Resolved (ridership id, name) pairs, those without a station by the ids that earlier batches learned; and new ids.
+def resolve_ids(
+    named: DataFrame, stations: DataFrame, learned: DataFrame, batch_id: int
+) -> DataFrame:
+    """What a batch and earlier ones know of each ridership id: ``ridership_id, _known, _later, _taught, _hit``. One row per id.
 
-    What a batch teaches is the smallest station of each id that is not blank. Batches with the same or a higher number are
-    not looked at, so that loading a batch again gives the same rows.
+    ``named`` holds records with the station that their name found, ``_named``, and that of an alias, ``_alias``. A record's station
+    is that of its alias, else of its known id, else of its name, else ``_later``: what other names with the same id found, or what
+    earlier batches learned. ``_taught`` is the smallest station of the id's records, ``_hit`` whether there is any. A blank id
+    teaches nothing and learns nothing. Batches with the same or a higher number are not looked at, so that loading a batch
+    again gives the same rows.
     """
-    taught = pairs.where("station_id IS NOT NULL AND trim(ridership_id) <> ''").groupBy("ridership_id").agg(
-        F.min("station_id").alias("station_id"))
-    earlier = learned.where(F.col("batch") < batch_id).groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("_learned"))
-    known = pairs.join(lookup_table(earlier, "earlier"), "ridership_id", "left")
-    return known.withColumn("station_id", F.coalesce("station_id", "_learned")).select(*pairs.columns), taught
+    plain = F.col("_alias").isNull()
+    ids = named.where("ridership_id IS NOT NULL").groupBy("ridership_id").agg(
+        F.min("_named").alias("_any"), F.min("_alias").alias("_first"), F.min(F.when(plain, F.col("_named"))).alias("_own"),
+        F.bool_or(plain).alias("_plain"), F.bool_or(plain & F.col("_named").isNull()).alias("_bare"))
+    earlier = learned.where(F.col("batch") < batch_id).groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("_earlier"))
+    ids = ids.join(by_ridership_id(stations).withColumnRenamed("station_id", "_known"), "ridership_id", "left").join(
+        earlier, "ridership_id", "left")
+    is_id = F.trim("ridership_id") != ""
+    by_name = F.least("_own", F.when(F.col("_bare"), F.col("_any")))
+    taught = F.least("_first", F.when(F.col("_known").isNull(), by_name).otherwise(F.when(F.col("_plain"), F.col("_known"))))
+    return ids.select(
+        "ridership_id", "_known", F.when(is_id, F.coalesce("_any", "_earlier")).alias("_later"),
+        F.when(is_id, taught).alias("_taught"), F.coalesce("_first", "_known", "_any", "_earlier").isNotNull().alias("_hit"))
 
 
 def load_batch(
@@ -163,8 +174,10 @@ def load_batch(
     where no newer fact stands. Loading the same batch again gives the same tables. When one (station, day) comes twice in a
     batch, the larger count wins.
 
+    Records without a date are left out.
+
     The summary of the load is returned and stored in ``reports``. Its counts are gathered while the records are written, and ids
-    are counted over the distinct pairs, so the records are not read for it.
+    are counted over the table that has one row for each.
     """
     spark = records.sparkSession
     id_type = stations.schema["station_id"].dataType
@@ -172,32 +185,40 @@ def load_batch(
     late_schema = StructType([learned_schema["station_id"], schemas.RECORD["service_date"], schemas.RECORD["entries"]])
     for name, schema in (("learned", learned_schema), ("late", late_schema), ("unmatched", schemas.RECORD)):
         compact(spark, f"{tables}/{name}", schema, batch_id, MOST_FOLDERS)
-    # Every job over a stream's batch reads and parses its files anew, so that the typed records are written first.
-    records = materialize(records.select(*schemas.RECORD.names), "records")
-    pairs = resolve_pairs(records, stations, hints, special)
-    if aliases is not None:
-        by_alias = match_by_alias_or_name(pairs.select("stationname").distinct(), aliases, stations).withColumnRenamed("station_id", "_alias")
-        pairs = pairs.join(lookup_table(by_alias, "aliases"), "stationname", "left").select(
-            "ridership_id", "stationname", F.coalesce("_alias", "station_id").alias("station_id"))
+    # Every job over a stream's batch reads and parses its files anew, so that the typed records are written first. Those without
+    # a date go afterwards: a filter before it would be pushed below the parsing and parse each date a second time.
+    records = materialize(records.select(*schemas.RECORD.names), "records").where("service_date IS NOT NULL")
+    names = scored_names(records, stations, hints, special).select("stationname", F.col("station_id").alias("_named"))
+    if aliases is None:
+        names = names.withColumn("_alias", F.lit(None).cast(id_type))
+    else:
+        by_alias = match_by_alias_or_name(names.select("stationname"), aliases, stations).withColumnRenamed("station_id", "_alias")
+        names = names.join(lookup_table(by_alias, "aliases"), "stationname", "left")
+    named = keep_all(records, lookup_table(names, "names"), ["stationname"])
     learned = batch_rows(spark, f"{tables}/learned", learned_schema)
-    known, taught = resolve_with_learned(materialize(pairs, "pairs"), learned, batch_id)
-    known = lookup_table(known, "resolved")
-    taught = materialize(taught, "taught")
-    taught.write.mode("overwrite").parquet(f"{tables}/learned/batch={batch_id}")
+    ids = lookup_table(resolve_ids(named, stations, learned, batch_id), "resolved")
+    ids.where("_taught IS NOT NULL").select("ridership_id", F.col("_taught").alias("station_id")).write.mode("overwrite").parquet(
+        f"{tables}/learned/batch={batch_id}")
 
     counts = Observation()
     hit = F.col("station_id").isNotNull()
-    matched = materialize(
-        keep_all(records, known, ["ridership_id", "stationname"]).observe(
-            counts, F.count(F.lit(1)).alias("fetched"), F.count_if(hit).alias("inserted"), F.count_if(~hit).alias("skipped")), "matched")
+    # A name that found a station is not asked for again, nor is the id of a row that has one.
+    named = named.withColumn("stationname", F.when(F.coalesce("_alias", "_named").isNull(), F.col("stationname")))
+    told = keep_all(named, ids.select("ridership_id", "_known", "_later"), ["ridership_id"]).select(
+        *schemas.RECORD.names, F.coalesce("_alias", "_known", "_named", "_later").alias("station_id"))
+    told = told.observe(
+        counts, F.count(F.lit(1)).alias("fetched"), F.count_if(hit).alias("inserted"), F.count_if(~hit).alias("skipped"))
+    matched = materialize(told.withColumns({n: F.when(~hit, F.col(n)) for n in ("ridership_id", "stationname")}), "matched")
     unmatched = matched.where(~hit).select(*schemas.RECORD.names)
     unmatched.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch_id}")
     waiting = batch_rows(spark, f"{tables}/unmatched", schemas.RECORD).where(F.col("batch") < batch_id)
-    ids = learned.where(F.col("batch") < batch_id).select("ridership_id", "station_id", "batch").unionByName(
-        taught.withColumn("batch", F.lit(batch_id).cast("bigint")))
-    ids = lookup_table(ids.groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("station_id")), "ids")
-    replayed = materialize(waiting.join(ids, "ridership_id"), "replayed")
-    back = replayed.groupBy("station_id", "service_date").agg(F.max_by("entries", F.struct("batch", "entries")).alias("entries"))
+    back, took = None, []
+    if not waiting.isEmpty():
+        known = batch_rows(spark, f"{tables}/learned", learned_schema).where(F.col("batch") <= batch_id)
+        known = lookup_table(known.groupBy("ridership_id").agg(F.min_by("station_id", "batch").alias("station_id")), "ids")
+        replayed = materialize(waiting.join(known, "ridership_id"), "replayed")
+        back = replayed.groupBy("station_id", "service_date").agg(F.max_by("entries", F.struct("batch", "entries")).alias("entries"))
+        took = replayed.select("batch").distinct().collect()  # as many as there are folders
 
     store = CityStore(spark, tables, stations, days)
     first = not exists(spark, f"{tables}/metrics")
@@ -206,14 +227,12 @@ def load_batch(
     others = {r.city_code for r in store.homes.select(city_text().alias("city_code")).distinct().collect()} - set(loaded["cities"]) if first else set()
     if others:
         store.refresh(sorted(others))
-    took = replayed.select("batch").distinct().collect()  # as many as there are folders
     for batch in sorted(r.batch for r in took):
-        left = materialize(waiting.where(F.col("batch") == batch).join(ids.select("ridership_id"), "ridership_id", "left_anti").select(*schemas.RECORD.names), "left")
+        left = materialize(waiting.where(F.col("batch") == batch).join(known.select("ridership_id"), "ridership_id", "left_anti").select(*schemas.RECORD.names), "left")
         left.write.mode("overwrite").parquet(f"{tables}/unmatched/batch={batch}")
 
-    row = known.agg(
-        F.count_distinct("ridership_id").alias("ids"), F.count_distinct(F.when(hit, F.col("ridership_id"))).alias("matched_ids"),
-        F.count_distinct("station_id").alias("matched_stations")).first()
+    row = ids.agg(F.count(F.lit(1)).alias("ids"), F.count_if("_hit").alias("matched_ids")).join(
+        matched.agg(F.count_distinct("station_id").alias("matched_stations"))).first()
     report = {"batch": batch_id, **counts.get, **row.asDict(), "removed": loaded["removed"], "cities": len(loaded["cities"])}
     report["match_rate"] = 100 * row.matched_stations / row.matched_ids if row.matched_ids else None
     report["true_match_rate"] = 100 * row.matched_ids / row.ids if row.ids else None
@@ -236,9 +255,9 @@ def retained(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def stream_records(spark: SparkSession, landing: str) -> DataFrame:
-    """The JSON feed as a stream of valid typed records."""
+    """The JSON feed as a stream of typed records; a date that cannot be read is NULL, and ``load_batch`` leaves its record out."""
     raw = spark.readStream.schema(schemas.RIDERSHIP_RECORD).json(landing)
-    return parse_json_rows(raw).where("is_valid").drop("is_valid")
+    return parse_json_rows(raw).drop("is_valid")
 
 
 def run_available(

@@ -200,3 +200,13 @@ def test_line_rules_ignore_case(spark):
     named = spark.createDataFrame([("Kedzie (blue)", ["X"]), ("Other", ["X"])], "name string, lines array<string>")
     found = {r.name: r.lines for r in U.assign_lines(named, [(["%(Blue)%"], ["Blue"])]).collect()}
     assert found == {"Kedzie (blue)": ["Blue"], "Other": ["X"]}
+
+
+def test_many_keys_are_looked_up_without_sorting(spark, monkeypatch):
+    records = spark.createDataFrame([(None, "a", 1), ("1", "a", 2), ("1", None, 3), ("2", "b", 4), ("1", "a", 5)], "i string, n string, v int")
+    resolved = spark.createDataFrame([(None, "a", "A"), ("1", "a", "B"), ("1", None, "C")], "i string, n string, station_id string")
+    few = X.keep_all(records, resolved, ["i", "n"])
+    monkeypatch.setattr(X, "MANY_KEYS", 1)
+    many = X.keep_all(records, resolved, ["i", "n"])
+    assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, few.collect())) and many.where("station_id IS NULL").first().v == 4

@@ -2,9 +2,12 @@
 
 import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from hubmetrics.operators.match import resolve_pairs
+from hubmetrics.storage import lookup_table
 from hubmetrics.streaming import incremental as I
 
 STATION = "station_id string, city_code string, ridership_id string, name string, lines array<string>"
@@ -64,6 +67,53 @@ def test_a_batch_is_read_from_its_source_once(spark, tmp_path):
     assert metrics == {"A": ("x", 5, 0), "B": ("y", 0, -1)}
 
 
+def test_a_date_is_parsed_once(spark, tmp_path, capsys):
+    land(tmp_path, "1.json", ("1", "Addison", "2024-03-01T00:00:00.000", "10"))
+    I.stream_records(spark, str(tmp_path)).explain()
+    assert capsys.readouterr().out.count("as timestamp") == 1
+
+
+def test_a_load_resolves_each_id_and_each_name_once(spark, tmp_path, monkeypatch):
+    """The load's stations, learned ids and counts are those of the resolved pairs, with and without aliases."""
+    stations = spark.createDataFrame(
+        [("A", "x", None, "Addison (Blue)", ["Blue"]), ("B", "x", "5", "Belmont", []), ("C", "y", None, "Clark", []), ("D", "y", None, "Clark", [])], STATION)
+    aliases = spark.createDataFrame([("D", "Odd", "odd"), ("B", "Clark", "clark")], "station_id string, alias_name string, normalized string")
+    names = ["Addison-O'Hare", "Belmont", "Clark", "Odd", "Odder", "Lost", None]
+    pick = random.Random(3)
+    rows = [(pick.choice(["5", "6", "7", "8", "9", "", " ", None]), pick.choice(names), datetime.date(2024, 3, 1 + k % 20), k) for k in range(24)]
+    rows += [("9", "Lost", datetime.date(2024, 3, 1), 100), ("6", "Odder", None, 101)]
+    records = spark.createDataFrame(rows, "ridership_id string, stationname string, service_date date, entries bigint")
+    dated = records.where("service_date IS NOT NULL")
+    pairs = {(r.ridership_id, r.stationname): r.station_id for r in resolve_pairs(dated, stations).collect()}
+    written = []
+
+    def noted(df, label):
+        copy = lookup_table(df, label)
+        written.append((label, copy.count()))
+        return copy
+
+    monkeypatch.setattr(I, "lookup_table", noted)
+    for listed in (None, aliases):
+        tables = f"{tmp_path}/{'named' if listed is None else 'listed'}"
+        own = {} if listed is None else {"Odd": "D", "Odder": None, "Clark": "B", "Belmont": "B"}
+        told = {(i, n): own.get(n) or found for (i, n), found in pairs.items()}
+        report = I.load_batch(records, 0, stations, tables, aliases=listed)
+        ids = {i for i, _ in told if i is not None}
+        hits = {i for (i, _), found in told.items() if found and i is not None}
+        assert (report["fetched"], report["ids"], report["matched_ids"], report["matched_stations"]) == (
+            25, len(ids), len(hits), len({found for found in told.values() if found}))
+        facts = {}
+        for i, n, day, entries in rows:
+            if day and told[i, n]:
+                facts[told[i, n], day] = max(entries, facts.get((told[i, n], day), 0))
+        assert {(r.station_id, r.service_date): r.entries for r in spark.read.parquet(f"{tables}/facts").collect()} == facts
+        assert sorted(map(repr, map(tuple, spark.read.parquet(f"{tables}/unmatched").drop("batch").collect()))) == sorted(
+            repr(r) for r in rows if r[2] and not told[r[:2]])
+        taught = {i: min(found for (j, _), found in told.items() if found and j == i) for i in hits if i.strip()}
+        assert {r.ridership_id: r.station_id for r in spark.read.parquet(f"{tables}/learned").collect()} == taught
+        assert ("resolved", len(ids)) in written and not {"pairs", "ids"} & {label for label, _ in written}
+
+
 def test_retained_reads_only_months_in_the_window(spark, tmp_path):
     stations = spark.createDataFrame([("A", "x", None, "A", [])], STATION)
     days = spark.createDataFrame([("A", datetime.date(2024, 12, 31), 1), ("A", datetime.date(2024, 1, 1), 2), ("A", datetime.date(2023, 12, 31), 3)],
