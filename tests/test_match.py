@@ -8,6 +8,7 @@ from hubmetrics import rules
 from hubmetrics.operators import maintain as U
 from hubmetrics.operators import match as X
 from hubmetrics.operators import quality as Q
+from hubmetrics.storage import lookup_table
 
 STATION = "station_id string, city_code string, ridership_id string, name string, lines array<string>"
 ADDISON = [("A", "Addison (Blue)", ["Blue"]), ("B", "Addison (Red)", ["Red"]), ("C", "Addison", [])]
@@ -83,6 +84,24 @@ def test_one_repeated_alias_is_dealt_over_tasks(spark):
     assert got.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_stations_of_one_alias_meet_the_names_as_lists(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(X, "lookup_table", lambda df, label: kept.append(lookup_table(df, label)) or kept[-1])
+    table = stations(spark, [(f"s{i:04}", "Same Name" if i % 3 else "Other Name", []) for i in range(3000)])
+    aliases = spark.createDataFrame(
+        [("a", f"s{i:04}") for i in range(3000)] * 2 + [("a", None), ("a", "gone"), ("b", None), (None, "s0001")],
+        "alias_name string, station_id string")
+    names = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "stationname string, row int")
+    got = X.match_exact_alias(names, aliases, table)
+    assert got.columns == ["stationname", "row", "station_id", "alias_name", "station_name"]
+    own = [("a", f"s{i:04}", "Same Name" if i % 3 else "Other Name") for i in range(3000)] + [("a", None, None), ("a", "gone", None)]
+    want = [("a", row, s, a, n) for row in (1, 2) for a, s, n in own] + [
+        ("b", 3, None, "b", None), ("c", 4, None, None, None), (None, 5, None, None, None)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    (lists,) = kept
+    assert lists.where("alias_name = 'a'").count() < 30
+
+
 def test_repeated_names_do_not_multiply_rows(spark):
     many = [(f"s{i:03}", "Same Name (Red)", ["Red"]) for i in range(300)]
     records = spark.createDataFrame([(str(i), "Same Name-State") for i in range(500)], "ridership_id string, stationname string")
